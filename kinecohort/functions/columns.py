@@ -90,9 +90,16 @@ def threshold_label(score: Column, cuts: Sequence[float]) -> Column:
     return label.otherwise(F.lit(len(cuts)))
 
 
+def as_f32(c: Column) -> Column:
+    """32-bit float, by way of a double.
+
+    Spark takes a cast of a whole number to float and on to double for a widening one and
+    leaves the float out, so a direct cast would keep digits that a float has not got.
+    """
+    return c.cast("double").cast("float")
+
+
 def cast_numeric_f32(df: DataFrame) -> DataFrame:
     """Cast every numeric column to 32-bit float, leave the others alone."""
     numeric = set(numeric_columns(df))
-    return df.select(
-        *[col(c).cast("float").alias(c) if c in numeric else col(c) for c in df.columns]
-    )
+    return df.select(*[as_f32(col(c)).alias(c) if c in numeric else col(c) for c in df.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinecohort.functions.columns import cast_numeric_f32, col, nan_to_null
+from kinecohort.functions.columns import as_f32, cast_numeric_f32, col, nan_to_null
 from kinecohort.operators.order import BLOCK, BLOCK_ROWS, HALO, POSITION, blocks, in_block_window
 from kinecohort.operators.quantiles import quantile_name, quantiles
 from kinecohort.operators.skew import HOT_ROWS, lookup_join
@@ -166,7 +166,7 @@ def series_basic_stats(df: DataFrame, cols: Sequence[str], id: str = "id") -> Da
     stats = {"min": F.min, "mean": F.avg, "max": F.max, "std": F.stddev_samp}
     return df.groupBy(col(id)).agg(
         *[
-            f(nan_to_null(col(c).cast("float"))).cast("float").alias(f"{c}_{s}")
+            f(nan_to_null(as_f32(col(c)))).cast("float").alias(f"{c}_{s}")
             for s, f in stats.items()
             for c in cols
         ]
