@@ -125,7 +125,8 @@ def fit_autoencoder(
     model = initial_autoencoder(width, encoding_dim, seed)
     data = df.select(_vector_column(df, cols).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     # Also fills the cache.
-    parts = (data.agg(F.max(F.spark_partition_id())).first()[0] or 0) + 1
+    part_ids = data.select(F.spark_partition_id().alias("p"))
+    parts = (part_ids.agg(F.max("p")).first()[0] or 0) + 1
     flat = np.concatenate([p.ravel() for wb in zip(model.weights, model.biases) for p in wb])
     first, second = np.zeros_like(flat), np.zeros_like(flat)
     # The usual decay rates and epsilon of Adam.

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from kinecohort.functions.columns import col
 from kinecohort.operators.order import running_sum
 from kinecohort.operators.quantiles import quantile_name, quantiles
-from kinecohort.operators.skew import HOT_ROWS, lookup_join
+from kinecohort.operators.skew import lookup_join
+from kinecohort.sources.shared import materialize
 
 ALL = "_all"
 
@@ -190,13 +191,23 @@ def _spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         .groupBy("pair", "x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # Read for the ranks of either side and for the sums.
+    rows = materialize(rows, "pairs")
+    # Both sides in one table of (pair, side, value), ranked together.
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v"), "n") for s in ("x", "y")])
+    counts = (
+        rows.select("pair", F.explode(sides).alias("s"))
+        .groupBy("pair", "s.side", "s.v")
+        .agg(F.sum("s.n").alias("m"), F.count(F.lit(1)).alias("_w"))
+    )
+    ranks = running_sum(counts, ["pair", "side"], ["v"], "m", "before").withColumn(
+        "rank", F.col("before") + (F.col("m") + 1) / 2
+    )
     for side in ("x", "y"):
-        counts = rows.groupBy("pair", side).agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("_w"))
-        before = running_sum(counts, ["pair"], [side], "m", "before")
-        ranks = before.select(
-            "pair", side, (F.col("before") + (F.col("m") + 1) / 2).alias(f"rank_{side}"), "_w"
+        own = ranks.filter(F.col("side") == side).select(
+            "pair", F.col("v").alias(side), F.col("rank").alias(f"rank_{side}"), "_w"
         )
-        rows = lookup_join(rows, ranks, ["pair", side], "_w", how="inner")
+        rows = lookup_join(rows, own, ["pair", side], "_w", how="inner")
     n, rx, ry = F.col("n"), F.col("rank_x"), F.col("rank_y")
     # Ranks have mean (N + 1) / 2; centring them keeps the sums small.
     size = rows.groupBy("pair").agg(F.sum("n").alias("_size"), F.count(F.lit(1)).alias("_w"))

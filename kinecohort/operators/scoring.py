@@ -165,10 +165,10 @@ def _cut_search(binned: DataFrame, cuts: Sequence[float], labels: int, key: Sequ
     pred_sum = reduce(add, [p * a for _, p, a in margins]).cast("double")
     chance = squares - 2 * true_sum * pred_sum / F.nullif(size, F.lit(0.0))
     kappa = F.when(chance != 0, 1 - apart.cast("double") / F.nullif(chance, F.lit(0.0)))
-    # Among equal scores the lowest cut points win.
+    # Among equal scores the lowest cut points win; an undefined score loses to any other.
     best = F.max(F.struct(kappa.alias("kappa"), *[(-F.col(f"_i{j}")).alias(f"i{j}") for j in range(k)]))
     cut_values = F.array(*[F.lit(float(c)) for c in cuts])
-    found = state.filter(kappa.isNotNull()).groupBy(*[col(c) for c in key]).agg(best.alias("_best"))
+    found = state.groupBy(*[col(c) for c in key]).agg(best.alias("_best"))
     return found.select(
         *[col(c) for c in key],
         F.col("_best.kappa").alias("kappa"),
@@ -211,7 +211,7 @@ def refine_thresholds(
     cuts = cut_grid(low, high, step, best)
     for _ in range(rounds):
         row = tune_thresholds(df, y, raw, cuts, len(start) + 1).first()
-        if row is None:
+        if row is None or row["kappa"] is None:
             return best
         best = [row[f"t{j}"] for j in range(len(start))]
         around = {round(t + i * step / 5, 10) for t in best for i in range(-5, 6)}

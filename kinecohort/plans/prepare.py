@@ -95,7 +95,9 @@ class FeatureEngineering(Estimator):
         # Written once: the fitted table is used for the rows here and again for scoring.
         stats = materialize(fit_group_stats(binned, P.GROUP_KEYS, scored), "group-stats")
         z = group_zscore(binned, P.GROUP_KEYS, scored, stats, null_safe=True).drop(*P.GROUP_BINS)
-        labelled = cleaning.drop_null_target(z, P.TARGET)
+        # Read for the codes and for the rows; also spares the optimizer from inferring
+        # constraints on the target through every cleaning rule.
+        labelled = cleaning.drop_null_target(materialize(z, "z-scores"), P.TARGET)
         ready = transform_features(create_features(labelled), self.season_into)
         codes = derive.fit_ordinal(ready, P.SEASONS)
         codes = derive.OrdinalCodes(materialize(codes.table, "codes"), codes.cols)
@@ -164,7 +166,7 @@ def prepare_train(
     season_into: str = "published",
 ) -> Prepared:
     """Clean, reduce and encode the series, join, and fit the features of both sets."""
-    cleaned = clean_train(subjects, series)
+    cleaned = materialize(clean_train(subjects, series), "cleaned")
     stats = materialize(series_features_v3(series, layout), "series-features")
     encoded, encoder, scaler = autoencode_features(stats, seed=seed, **(autoencoder or P.AUTOENCODER))
     frames, models, by_set = {}, {}, {}
