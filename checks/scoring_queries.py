@@ -329,8 +329,8 @@ _FEATURES = [
 
 
 def _model_rows(spark, sf_dir):
-    s = series(spark, sf_dir)
-    merged = merge_series_features(clean_train(subjects(spark, sf_dir), s), series_basic_stats(s, ["X", "enmo"]))
+    s, people = series(spark, sf_dir), materialize(subjects(spark, sf_dir), "subjects")
+    merged = merge_series_features(clean_train(people, s), series_basic_stats(s, ["X", "enmo"]))
     rows = merged.select("id", "sii", *[col(c) for c in _FEATURES]).dropna(subset=["sii"])
     return materialize(rows, "model-rows")
 

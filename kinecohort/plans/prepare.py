@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.ml import Estimator, Model
@@ -169,17 +169,32 @@ def prepare_train(
     cleaned = materialize(clean_train(subjects, series), "cleaned")
     stats = materialize(series_features_v3(series, layout), "series-features")
     encoded, encoder, scaler = autoencode_features(stats, seed=seed, **(autoencoder or P.AUTOENCODER))
+    # Group statistics and codes depend on subject columns alone, so they are fitted and
+    # applied once, before the series columns of either set are joined.
+    model, frame = FeatureEngineering(seed, season_into).fit_transform(cleaned)
+    frame = materialize(frame, "features")
     frames, models, by_set = {}, {}, {}
     for name, features in ((P.NORMAL, stats), (P.ENCODED, encoded)):
-        estimator = FeatureEngineering(seed, season_into)
-        model, frame = estimator.fit_transform(merge_series_features(cleaned, features))
         # Training reads a feature table once per fold and member.
-        frames[name], models[name] = materialize(frame, f"features-{name}"), model
-        by_set[name] = model.artifacts
+        frames[name] = materialize(merge_series_features(frame, features), f"features-{name}")
+        by_set[name] = replace(model.artifacts, features=_feature_order(cleaned, features, frame))
+        models[name] = FeatureModel(by_set[name], seed, season_into)
     artifacts = Artifacts(new_run_id(), by_set, scaler, encoder, {"seed": seed, "season_into": season_into})
     return Prepared(frames, models, artifacts)
 
 
+def _feature_order(subjects: DataFrame, features: DataFrame, derived: DataFrame) -> tuple[str, ...]:
+    """Subject columns, series columns, derived columns, as if derived from the joined table."""
+    known = {*subjects.columns, P.ID}
+    ordered = [
+        *subjects.columns,
+        *[c for c in features.columns if c not in known],
+        *[c for c in derived.columns if c not in known],
+    ]
+    dropped = {*P.EXCLUDED_FEATURES, P.ID}
+    return tuple(c for c in ordered if c not in dropped)
+
+
 def prepare_test(
     subjects: DataFrame, series: DataFrame, artifacts: Artifacts, layout: SeriesLayout = LAYOUT
 ) -> Prepared:
@@ -188,10 +203,13 @@ def prepare_test(
     stats = materialize(series_features_v3(series, layout), "series-features")
     encoded, _, _ = autoencode_features(stats, model=artifacts.encoder, scaler=artifacts.scaler)
     frames, models = {}, {}
+    # Any set's fitted values will do for the subject columns: they are the same in all.
+    model = FeatureModel(artifacts.by_set[P.NORMAL], artifacts.extra["seed"], artifacts.extra["season_into"])
+    derived = materialize(model.transform(cleaned), "features-scored")
     for name, features in ((P.NORMAL, stats), (P.ENCODED, encoded)):
-        model = FeatureModel(artifacts.by_set[name], artifacts.extra["seed"], artifacts.extra["season_into"])
-        frames[name] = model.aligned(merge_series_features(cleaned, features))
-        models[name] = model
+        fitted = artifacts.by_set[name]
+        frames[name] = cleaning.align_features(merge_series_features(derived, features), fitted.features)
+        models[name] = FeatureModel(fitted, artifacts.extra["seed"], artifacts.extra["season_into"])
     return Prepared(frames, models, artifacts)
 
 
