@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinecohort.functions.columns import col, floor_bin, ieee_div
+from kinecohort.operators.order import ranked
 from kinecohort.operators.skew import lookup_join
+from kinecohort.sources.shared import materialize
 
 MISSING = "Missing"
 UNSEEN = -1.0
 # Category tables up to this size become a literal map in the plan, larger ones a join.
 MAP_CATEGORIES = 1_000
+# Up to this many categories are numbered by one window per column, more by positions.
+WINDOW_CATEGORIES = 1_000_000
 
 
 def missing_indicator(df: DataFrame, source: str, name: str) -> DataFrame:
@@ -95,9 +99,12 @@ def fit_ordinal(df: DataFrame, cols: Sequence[str]) -> OrdinalCodes:
         .groupBy("column", "category")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per category by now.
-    code = F.row_number().over(Window.partitionBy("column").orderBy("category")) - 1
-    return OrdinalCodes(counts.withColumn("code", code), tuple(cols))
+    counts = materialize(counts, "categories")
+    if counts.count() <= WINDOW_CATEGORIES:
+        code = F.row_number().over(Window.partitionBy("column").orderBy("category")) - 1
+        return OrdinalCodes(counts.withColumn("code", code), tuple(cols))
+    coded = ranked(counts, ["column"], ["category"], "code").drop("code_start", "code_size")
+    return OrdinalCodes(coded, tuple(cols))
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -21,24 +21,23 @@ from kinecohort.sources.shared import materialize
 POSITION = "_pos"
 BLOCK = "_block"
 HALO = "_halo"
-BLOCK_ROWS = 65_536
+BLOCK_ROWS = 16_384
 
 # monotonically_increasing_id() keeps the partition number above bit 33.
 _PARTITION_SHIFT = 33
 
 
-def positioned(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+def positioned(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows with their 0-based position in the table sorted by ``order``.
 
     ``order`` must be unique per row for the positions to be repeatable. The sorted copy
     is written to the shared folder: positions must not be evaluated twice with two
     different samples of range bounds.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = [col(c) for c in order]
+    # No partition number: adaptive execution may join neighbouring small ranges.
     laid_out = (
-        df.repartitionByRange(n, *by)
+        df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_row", F.monotonically_increasing_id())
     )

@@ -20,14 +20,20 @@ ALL = "_all"
 def crosstab_counts(df: DataFrame, x: str, y: str, normalize_over_x: bool = False) -> DataFrame:
     """Rows per (x, y), nulls being a value; with ``normalize_over_x`` the share within x."""
     counts = df.groupBy(col(x), col(y)).agg(F.count(F.lit(1)).alias("count"))
-    if normalize_over_x:
-        counts = counts.withColumn("count", share_within_group("count", [x]))
-    return counts
+    return share_within_group(counts, "count", [x]) if normalize_over_x else counts
 
 
-def share_within_group(amount: str, keys: Sequence[str]) -> Column:
-    """Share of the group total; for rows that are aggregated already."""
-    return col(amount) / F.sum(col(amount)).over(Window.partitionBy(*[col(k) for k in keys]))
+def share_within_group(counts: DataFrame, amount: str, keys: Sequence[str]) -> DataFrame:
+    """Replace an amount by its share of the group total.
+
+    The totals are aggregated and looked up: a window over the group would hold all its
+    values in one task.
+    """
+    totals = counts.groupBy(*[col(k) for k in keys]).agg(
+        F.sum(col(amount)).alias("_total"), F.count(F.lit(1)).alias("_w")
+    )
+    joined = lookup_join(counts, totals, keys, "_w", null_safe=True)
+    return joined.withColumn(amount, col(amount) / F.col("_total")).drop("_total")
 
 
 def value_range(counts: DataFrame, name: str = "count") -> DataFrame:

@@ -11,12 +11,15 @@ at the end. Both ways return the same elements.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinecohort.functions.columns import col, nan_to_null
 from kinecohort.operators.skew import HOT_ROWS, lookup_join
+from kinecohort.sources.shared import materialize
 
 SMALL_GROUP_ROWS = 100_000
 BINS = 1024
@@ -32,10 +35,9 @@ def quantile_name(name: str, q: float) -> str:
     return f"{name}_q{q * 100:g}"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Number of rows of the largest key group (one combined count, one number returned)."""
-    counts = df.groupBy(*[col(k) for k in keys]).count()
-    return counts.agg(F.max("count")).first()[0] or 0
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key group, written since it is read more than once."""
+    return materialize(df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_w")), "group-sizes")
 
 
 def _wanted_ranks(n: Column, probs: Sequence[float], method: str) -> list[Column]:
@@ -73,11 +75,31 @@ def quantiles(
     ``extra`` are further aggregates to evaluate along (they share the shuffle when the
     groups are small). ``method`` is ``nearest`` (an element of the group) or ``linear``.
     """
-    if largest_group(df, keys) <= small_rows:
+    sizes = group_sizes(df, keys)
+    large = F.col("_w") > small_rows
+    n_groups, n_large = sizes.agg(F.count(F.lit(1)), F.count_if(large)).first()
+    if n_large == 0:
         return _by_sorted_arrays(df, keys, cols, probs, method, extra)
+    if n_large == n_groups:
+        return _large_groups(df, keys, cols, probs, method, extra, hot_rows)
+    # Few groups are large, so the table of them is small next to the rows.
+    flags = sizes.filter(large).withColumn("_large", F.lit(True))
+    flagged = lookup_join(df, flags, keys, "_w", null_safe=True, hot_rows=hot_rows)
+    of_small = flagged.filter(F.col("_large").isNull()).drop("_large")
+    of_large = flagged.filter(F.col("_large")).drop("_large")
+    return _by_sorted_arrays(of_small, keys, cols, probs, method, extra).unionByName(
+        _large_groups(of_large, keys, cols, probs, method, extra, hot_rows)
+    )
+
+
+def _large_groups(df, keys, cols, probs, method, extra, hot_rows) -> DataFrame:
     picked = _by_narrowing(df, keys, cols, probs, method, hot_rows)
     rest = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_rows"), *extra)
-    return rest.join(picked, list(keys), "left").drop("_rows")
+    same = [rest[f"`{k}`"].eqNullSafe(picked[f"`{k}`"]) for k in keys]
+    values = [quantile_name(c, q) for c in cols for q in probs]
+    return rest.join(picked, reduce(and_, same), "left").select(
+        *[rest[f"`{c}`"] for c in rest.columns if c != "_rows"], *[col(v) for v in values]
+    )
 
 
 def _by_sorted_arrays(df, keys, cols, probs, method, extra) -> DataFrame:
@@ -105,12 +127,14 @@ def _by_narrowing(df, keys, cols, probs, method, hot_rows) -> DataFrame:
     by = [col(k) for k in keys]
     values = [nan_to_null(col(c).cast("double")) for c in cols]
     rows = df.select(*by, F.array(*values).alias("_vals"))
+    per_col = range(len(cols))
     bounds = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_w"),
-        *[F.count(F.col("_vals")[i]).alias(f"_n{i}") for i in range(len(cols))],
-        *[F.min(F.col("_vals")[i]).alias(f"_lo{i}") for i in range(len(cols))],
-        *[F.max(F.col("_vals")[i]).alias(f"_hi{i}") for i in range(len(cols))],
+        *[F.count(F.col("_vals")[i]).alias(f"_n{i}") for i in per_col],
+        *[F.min(F.col("_vals")[i]).alias(f"_lo{i}") for i in per_col],
+        *[F.max(F.col("_vals")[i]).alias(f"_hi{i}") for i in per_col],
     )
+    bounds = materialize(bounds, "bounds")
 
     def first_interval(i: int) -> Column:
         ranks = _wanted_ranks(F.col(f"_n{i}").cast("double"), probs, method)
@@ -122,12 +146,14 @@ def _by_narrowing(df, keys, cols, probs, method, hot_rows) -> DataFrame:
             F.array(*wanted).alias("rs"),
         )
 
-    intervals = F.array(*[first_interval(i) for i in range(len(cols))])
+    intervals = F.array(*[first_interval(i) for i in per_col])
     state = bounds.select(
         *by, "_w", F.filter(intervals, lambda iv: iv["lo"].isNotNull()).alias("_ivs")
     )
     for _ in range(PASSES):
-        state = _narrow(rows, keys, state, hot_rows)
+        # Each state is written: the next pass must not repeat the scans of this one.
+        state = _narrow(rows, keys, materialize(state, "intervals"), hot_rows)
+    state = materialize(state, "intervals")
 
     inside = _inside(rows, keys, state, hot_rows)
     ordered = Window.partitionBy(*by, "c", "lo").orderBy("v")
@@ -137,17 +163,19 @@ def _by_narrowing(df, keys, cols, probs, method, hot_rows) -> DataFrame:
         .withColumn("cum", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     )
     hits = _targets(counted).select(*by, "c", F.col("x.t").alias("t"), "v")
-    per_col = len(_wanted_ranks(F.lit(1.0), probs, method))
+    n_ranks = len(_wanted_ranks(F.lit(1.0), probs, method))
     picks = [
         F.max(F.when((F.col("c") == i) & (F.col("t") == t), F.col("v"))).alias(f"_p{i}_{t}")
-        for i in range(len(cols))
-        for t in range(per_col)
+        for i in per_col
+        for t in range(n_ranks)
     ]
-    sizes = bounds.select(*by, *[f"_n{i}" for i in range(len(cols))])
-    wide = sizes.join(hits.groupBy(*by).agg(*picks), list(keys), "left")
+    sizes = bounds.select(*by, *[f"_n{i}" for i in per_col])
+    found_rows = hits.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*picks)
+    same = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    wide = sizes.join(found_rows, reduce(and_, same), "left")
     out = []
     for i, c in enumerate(cols):
-        found = [F.col(f"_p{i}_{t}") for t in range(per_col)]
+        found = [F.col(f"_p{i}_{t}") for t in range(n_ranks)]
         n = F.col(f"_n{i}").cast("double")
         out += [
             v.alias(quantile_name(c, q)) for v, q in zip(_combine(found, n, probs, method), probs)
@@ -156,8 +184,11 @@ def _by_narrowing(df, keys, cols, probs, method, hot_rows) -> DataFrame:
 
 
 def _inside(rows: DataFrame, keys, state: DataFrame, hot_rows) -> DataFrame:
-    """The values that fall into an interval still searched, one row each."""
-    joined = lookup_join(rows, state, keys, "_w", how="inner", hot_rows=hot_rows)
+    """The values that fall into an interval still searched, one row each, with the group size."""
+    sized = state.withColumn("_size", F.col("_w"))
+    joined = lookup_join(
+        rows, sized, keys, "_w", how="inner", null_safe=True, hot_rows=hot_rows, written=True
+    )
     hit = F.filter(
         F.transform(
             F.col("_ivs"),
@@ -167,6 +198,7 @@ def _inside(rows: DataFrame, keys, state: DataFrame, hot_rows) -> DataFrame:
                 iv["hi"].alias("hi"),
                 iv["rs"].alias("rs"),
                 F.get(F.col("_vals"), iv["c"]).alias("v"),
+                F.col("_size").alias("_w"),
             ),
         ),
         lambda x: (x["v"] >= x["lo"]) & (x["v"] <= x["hi"]),
@@ -199,18 +231,21 @@ def _narrow(rows: DataFrame, keys, state: DataFrame, hot_rows) -> DataFrame:
             F.min("v").alias("new_lo"),
             F.max("v").alias("new_hi"),
             F.first("rs").alias("rs"),
+            F.first("_w").alias("_w"),
         )
         .withColumn("cum", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     )
     kept = _targets(counted).select(
         *by,
+        "_w",
         "c",
         F.col("new_lo").alias("lo"),
         F.col("new_hi").alias("hi"),
         F.struct(F.col("x.t").alias("t"), (F.col("x.r") - (F.col("cum") - F.col("n"))).alias("r")).alias("target"),
     )
-    intervals = kept.groupBy(*by, "c", "lo", "hi").agg(F.collect_list("target").alias("rs"))
-    packed = intervals.groupBy(*by).agg(
-        F.collect_list(F.struct("c", "lo", "hi", "rs")).alias("_ivs")
+    intervals = kept.groupBy(*by, "c", "lo", "hi").agg(
+        F.collect_list("target").alias("rs"), F.max("_w").alias("_w")
+    )
+    return intervals.groupBy(*by).agg(
+        F.collect_list(F.struct("c", "lo", "hi", "rs")).alias("_ivs"), F.max("_w").alias("_w")
     )
-    return packed.join(state.select(*by, "_w"), list(keys))

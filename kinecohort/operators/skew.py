@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinecohort.functions.columns import col
+from kinecohort.sources.shared import materialize
 
 # A key with at least this many rows is too much for one task. There are at most
 # (all rows / HOT_ROWS) such keys, which bounds what is broadcast for them.
@@ -25,6 +26,7 @@ def lookup_join(
     how: str = "left",
     null_safe: bool = False,
     hot_rows: int = HOT_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Add the columns of ``table`` (unique per key) to ``rows``.
 
@@ -33,7 +35,13 @@ def lookup_join(
     content over the partitions of the second join; all other keys go through that
     join, for which Catalyst picks the strategy. With ``null_safe`` null keys match
     null keys, otherwise they match nothing (and are spread too).
+
+    The table is written first (unless it is ``written`` already): it is read twice, and
+    the size of its files lets Catalyst broadcast a small one instead of shuffling the
+    rows, which the estimate for an unfinished aggregate would not.
     """
+    if not written:
+        table = materialize(table, "lookup")
     values = [c for c in table.columns if c not in on and c != weight]
     named_keys = [col(k).alias(f"_key{i}") for i, k in enumerate(on)]
     packed = table.select(*named_keys, F.struct(*[col(v) for v in values]).alias("_v"), col(weight).alias("_w"))

@@ -16,7 +16,6 @@ from kinecohort.operators.ensemble import Ensemble, cv_out_of_fold, fit_feature_
 from kinecohort.operators.scoring import quadratic_kappa, refine_thresholds, stratified_folds
 from kinecohort.plans import presets as P
 from kinecohort.plans.training import SCORE_RANGE
-from kinecohort.sources.shared import materialize
 
 # The searched ranges (low, high, step; no step means continuous).
 CHOICES = {"n_estimators": [500, 1000, 2000], "bagging_freq": [1]}
@@ -66,7 +65,7 @@ def param_search(
     """One row per trial: its parameters and the tuned kappa, all trials on the same folds."""
     vector = fit_feature_vector(df, features)
     data = vector.transform(df.withColumn("y", col(target).cast("int")), [id, "y"])
-    folded = materialize(stratified_folds(data, "y", [id]), "folds").persist(StorageLevel.MEMORY_AND_DISK)
+    folded = stratified_folds(data, "y", [id]).persist(StorageLevel.MEMORY_AND_DISK)
     drawn = [{**p, **(fixed or {})} for p in draw_trials(trials, seed)]
 
     def score(params: dict[str, Any]) -> float:

@@ -33,7 +33,6 @@ from kinecohort.operators.scoring import (
 from kinecohort.plans import presets as P
 from kinecohort.plans.prepare import Prepared
 from kinecohort.sources.artifacts import lineage_guard
-from kinecohort.sources.shared import materialize
 
 SCORE_RANGE = (-0.5, 3.5)
 
@@ -102,7 +101,7 @@ def train_level1(
     vector = fit_feature_vector(df, features)
     data = vector.transform(df.withColumn("y", col(target).cast("int")), [id, "y"])
     _require_label_scale(data, len(init_cuts) + 1)
-    folded = materialize(stratified_folds(data, "y", [id]), "folds")
+    folded = stratified_folds(data, "y", [id])
     spec = Ensemble(tuple(params))
 
     def fit(train: DataFrame):
@@ -124,7 +123,7 @@ def train_level2(
     """Cross-validate and fit a linear model on level-1 predictions; keeps the cut points."""
     data = stacked.select(col(id), col(target).cast("int").alias("y"), *[col(n) for n in names])
     _require_label_scale(data, len(init_cuts) + 1)
-    folded = materialize(stratified_folds(data, "y", [id]), "folds")
+    folded = stratified_folds(data, "y", [id])
 
     def fit(train: DataFrame):
         model = stack_linear(train, names)

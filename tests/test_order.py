@@ -90,7 +90,7 @@ def element(values, q):
     return sorted(values)[math.floor(q * (len(values) - 1) + 0.5)]
 
 
-@pytest.mark.parametrize("small_rows,hot_rows", [(10**6, 10**9), (10, 10**9), (10, 100)])
+@pytest.mark.parametrize("small_rows,hot_rows", [(10**6, 10**9), (200, 10**9), (10, 10**9), (10, 100)])
 def test_nearest_quantiles_on_both_routes(spark, small_rows, hot_rows):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "id string, step long, x double").withColumn("y", F.lit(3.0))
