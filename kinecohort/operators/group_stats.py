@@ -39,9 +39,10 @@ def apply_group_stats(
     keys: Sequence[str],
     null_safe: bool = False,
     hot_rows: int = HOT_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Left-join fitted statistics to rows; null keys match only if ``null_safe``."""
-    return lookup_join(df, stats, keys, ROWS, null_safe=null_safe, hot_rows=hot_rows)
+    return lookup_join(df, stats, keys, ROWS, null_safe=null_safe, hot_rows=hot_rows, written=written)
 
 
 def z_score(c: str) -> Column:
@@ -55,15 +56,17 @@ def group_zscore(
     stats: DataFrame | None = None,
     null_safe: bool | None = None,
     hot_rows: int = HOT_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``t<col>``: distance from the group mean in group standard deviations.
 
     Without ``stats`` they are fitted on ``df`` itself and null keys form a group of their
-    own. With ``stats`` (scoring) null keys get a null score, unless ``null_safe``.
+    own. With ``stats`` (scoring) null keys get a null score, unless ``null_safe``;
+    ``written`` says that they are read from storage.
     """
     if null_safe is None:
         null_safe = stats is None
     if stats is None:
         stats = fit_group_stats(df, keys, cols)
-    joined = apply_group_stats(df, stats, keys, null_safe, hot_rows)
+    joined = apply_group_stats(df, stats, keys, null_safe, hot_rows, written)
     return joined.select(*[col(c) for c in df.columns], *[z_score(c).alias(f"t{c}") for c in cols])

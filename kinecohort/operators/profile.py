@@ -72,8 +72,7 @@ def normal_reference_bandwidth(
     """Per group 1.06 * min(std, IQR / 1.34) * n^(-1/5), of the first of these that is not 0."""
     df, key = _with_all(df, group)
     sizes = [F.count(col(x)).alias("_n"), F.stddev_samp(col(x)).alias("_sd")]
-    kwargs = {} if small_rows is None else {"small_rows": small_rows}
-    q = quantiles(df, [key], [x], (0.25, 0.75), "linear", extra=sizes, **kwargs)
+    q = quantiles(df, [key], [x], (0.25, 0.75), "linear", extra=sizes, small_rows=small_rows)
     q1, q3 = col(quantile_name(x, 0.25)), col(quantile_name(x, 0.75))
     spread = F.least(F.col("_sd"), (q3 - q1) / F.lit(1.34))
     scale = F.coalesce(
@@ -142,8 +141,7 @@ def kde_density(
 def box_stats(df: DataFrame, x: str, group: str, small_rows: int | None = None) -> DataFrame:
     """Quartiles per group and the outermost values within 1.5 interquartile ranges."""
     rows = [F.count(F.lit(1)).alias("_w")]
-    kwargs = {} if small_rows is None else {"small_rows": small_rows}
-    q = quantiles(df, [group], [x], (0.25, 0.5, 0.75), "linear", extra=rows, **kwargs)
+    q = quantiles(df, [group], [x], (0.25, 0.5, 0.75), "linear", extra=rows, small_rows=small_rows)
     quartiles = q.select(
         col(group),
         "_w",

@@ -21,7 +21,8 @@ from kinecohort.functions.columns import col, nan_to_null
 from kinecohort.operators.skew import HOT_ROWS, lookup_join
 from kinecohort.sources.shared import materialize
 
-SMALL_GROUP_ROWS = 100_000
+# Values of one group that may be sorted as arrays in one task (8 bytes each).
+SMALL_GROUP_VALUES = 1_000_000
 BINS = 1024
 PASSES = 2
 
@@ -67,7 +68,7 @@ def quantiles(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     method: str = "nearest",
     extra: Sequence[Column] = (),
-    small_rows: int = SMALL_GROUP_ROWS,
+    small_rows: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Quantiles of ``cols`` per key as ``<col>_q25`` etc., NaN counting as null.
@@ -75,6 +76,8 @@ def quantiles(
     ``extra`` are further aggregates to evaluate along (they share the shuffle when the
     groups are small). ``method`` is ``nearest`` (an element of the group) or ``linear``.
     """
+    if small_rows is None:
+        small_rows = SMALL_GROUP_VALUES // len(cols)
     sizes = group_sizes(df, keys)
     large = F.col("_w") > small_rows
     n_groups, n_large = sizes.agg(F.count(F.lit(1)), F.count_if(large)).first()

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinecohort.functions.columns import col
@@ -43,39 +43,32 @@ def lookup_join(
     if not written:
         table = materialize(table, "lookup")
     values = [c for c in table.columns if c not in on and c != weight]
-    named_keys = [col(k).alias(f"_key{i}") for i, k in enumerate(on)]
-    packed = table.select(*named_keys, F.struct(*[col(v) for v in values]).alias("_v"), col(weight).alias("_w"))
-
-    def matches(prefix: str) -> Column:
-        pairs = [(rows[f"`{k}`"], F.col(f"{prefix}._key{i}")) for i, k in enumerate(on)]
-        return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+    packed = table.select(
+        *[col(k).alias(f"_key{i}") for i, k in enumerate(on)],
+        F.struct(*[col(v) for v in values]).alias("_v"),
+        col(weight).alias("_w"),
+    )
+    keys = [(col(k), F.col(f"_key{i}")) for i, k in enumerate(on)]
+    same_key = reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in keys])
+    content = [col(c) for c in rows.columns]
 
     hot = packed.filter(F.col("_w") >= hot_rows).withColumnRenamed("_v", "_hot").drop("_w")
-    marked = rows.join(F.broadcast(hot.alias("h")), matches("h"), "left")
     scattered = F.col("_hot").isNotNull()
     if not null_safe:
-        scattered = scattered | reduce(or_, [rows[f"`{k}`"].isNull() for k in on])
-    content = [rows[f"`{c}`"] for c in rows.columns]
-    marked = marked.select(
-        *content,
-        "_hot",
-        F.when(scattered, F.pmod(F.xxhash64(*content), F.lit(SPREAD)) + 1).otherwise(F.lit(0)).alias("_spread"),
-    )
+        scattered = scattered | reduce(or_, [col(k).isNull() for k in on])
+    spread = F.when(scattered, F.pmod(F.xxhash64(*content), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
+    marked = rows.join(F.broadcast(hot), same_key, "left").select(*content, "_hot", spread.alias("_spread"))
+
     cold = (
         packed.filter(F.col("_w") < hot_rows)
         .withColumnRenamed("_v", "_cold")
         .drop("_w")
         .withColumn("_home", F.lit(0).cast("long"))
     )
-    pairs = [(F.col(f"m.`{k}`"), F.col(f"c._key{i}")) for i, k in enumerate(on)]
-    condition = reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
-    joined = marked.alias("m").join(
-        cold.alias("c"), condition & (F.col("m._spread") == F.col("c._home")), "left"
-    )
-    found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    out = joined.select(*[F.col(f"m.`{c}`") for c in rows.columns], found.alias("_v"))
+    joined = marked.join(cold, same_key & (F.col("_spread") == F.col("_home")), "left")
+    out = joined.select(*content, F.coalesce("_hot", "_cold").alias("_v"))
     if how == "inner":
         out = out.filter(F.col("_v").isNotNull())
     elif how != "left":
         raise ValueError(f"unsupported join type: {how}")
-    return out.select(*[col(c) for c in rows.columns], *[F.col(f"_v.`{v}`").alias(v) for v in values])
+    return out.select(*content, *[F.col(f"_v.`{v}`").alias(v) for v in values])

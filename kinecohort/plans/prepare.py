@@ -94,7 +94,7 @@ class FeatureEngineering(Estimator):
         scored = group_columns(df)
         # Written once: the fitted table is used for the rows here and again for scoring.
         stats = materialize(fit_group_stats(binned, P.GROUP_KEYS, scored), "group-stats")
-        z = group_zscore(binned, P.GROUP_KEYS, scored, stats, null_safe=True).drop(*P.GROUP_BINS)
+        z = group_zscore(binned, P.GROUP_KEYS, scored, stats, null_safe=True, written=True).drop(*P.GROUP_BINS)
         # Read for the codes and for the rows; also spares the optimizer from inferring
         # constraints on the target through every cleaning rule.
         labelled = cleaning.drop_null_target(materialize(z, "z-scores"), P.TARGET)
@@ -129,7 +129,7 @@ class FeatureModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         a = self.artifacts
         z = group_zscore(
-            with_group_bins(dataset), P.GROUP_KEYS, group_columns(dataset), a.group_stats, self.null_safe
+            with_group_bins(dataset), P.GROUP_KEYS, group_columns(dataset), a.group_stats, self.null_safe, written=True
         ).drop(*P.GROUP_BINS)
         coded = a.codes.transform(transform_features(create_features(z), self.season_into))
         return derive.impute_linear_noise(coded, P.WAIST, P.WAIST_SOURCE, P.WAIST_FACTOR, self.seed)
