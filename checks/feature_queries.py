@@ -76,7 +76,8 @@ _Z_SQL = ", ".join(
     ),
 )
 def group_zscore(spark, sf_dir):
-    out = group_stats.group_zscore(lines(spark, sf_dir), _KEYS, _MEASURES)
+    rows = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *_KEYS, *_MEASURES)
+    out = group_stats.group_zscore(rows, _KEYS, _MEASURES)
     return tidy(out.select("l_orderkey", "l_linenumber", *_Z_NAMES))
 
 
@@ -348,6 +349,20 @@ def value_shares(spark, sf_dir):
     return tidy(profile.value_shares(table(spark, sf_dir, "documents"), "lang"), 9)
 
 
+@query("value_counts", 'SELECT event_type, count(*) AS "count" FROM events GROUP BY 1')
+def value_counts(spark, sf_dir):
+    return profile.value_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+@query(
+    "value_range",
+    'SELECT min(n) AS lowest, max(n) AS highest FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority)',
+)
+def value_range(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return profile.value_range(profile.crosstab_counts(orders, "o_orderstatus", "o_orderpriority"))
+
+
 @query(
     "histogram",
     'SELECT floor((value - 0.0) / 25) * 25.0 + 0.0 AS bin_start, count(*) AS "count" FROM events GROUP BY 1',
@@ -379,6 +394,34 @@ def kde_density(spark, sf_dir):
     return tidy(profile.kde_density(events, "value", 0, 500, steps=40, group="event_type"), 10)
 
 
+_WHOLE_BANDWIDTH = _BANDWIDTH.replace("event_type, ", "", 1).replace("SELECT event_type, count", "SELECT count").replace(
+    " FROM events GROUP BY 1", " FROM events"
+)
+
+
+@query(
+    "kde_density_whole",
+    tidy_sql(
+        f"""SELECT g.at AS "value",
+        sum(exp(-(((g.at - e.value) / h) * ((g.at - e.value) / h)) / 2) / (2.5066282746310002::DOUBLE * h)) / count(*)
+          AS density
+        FROM events e, ({_WHOLE_BANDWIDTH}) b, (SELECT low + i * ((high - low) / 20) AS at FROM range(21) r(i),
+          (SELECT min(value) AS low, max(value) AS high FROM events)) g
+        GROUP BY 1""",
+        ["value", "density"],
+        10,
+    ),
+)
+def kde_density_whole(spark, sf_dir):
+    """All event types together, over the range of the values."""
+    return tidy(profile.kde_density(table(spark, sf_dir, "events"), "value", steps=20), 10)
+
+
+@query("kde_density_cumulative")
+def kde_density_cumulative(spark, sf_dir):
+    return profile.kde_density(table(spark, sf_dir, "events"), "value", steps=20, cumulative=True)
+
+
 _BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
 
 

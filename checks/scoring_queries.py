@@ -14,9 +14,11 @@ from kinecohort.operators import scaling
 from kinecohort.operators import scoring as M
 from kinecohort.operators.series import series_basic_stats
 from kinecohort.plans import presets as P
+from kinecohort.plans.models import load_models, save_models
 from kinecohort.plans.prepare import clean_train, merge_series_features, prepare_test, prepare_train
 from kinecohort.plans.search import param_search
 from kinecohort.plans.training import batch_score, train, train_level1, train_level2
+from kinecohort.sources.artifacts import load_artifacts, save_artifacts
 from kinecohort.sources.shared import fresh_path, materialize
 from kinecohort.sources.tables import write_predictions
 
@@ -380,7 +382,11 @@ def batch_score_query(spark, sf_dir):
     people, s = materialize(subjects(spark, sf_dir), "subjects"), series(spark, sf_dir)
     prepared = prepare_train(people, s, LAYOUT, {"encoding_dim": 8, "epochs": 10, "learning_rate": 0.001})
     trained = train(prepared, QUICK_MODELS)
-    labels = batch_score(trained, prepare_test(people, s, prepared.artifacts, LAYOUT))
+    # As a scoring job of its own would: from saved models and saved fitted values.
+    save_models(spark, trained, models := fresh_path(spark, "models"))
+    save_artifacts(prepared.artifacts, fitted := fresh_path(spark, "artifacts"))
+    scored_rows = prepare_test(people, s, load_artifacts(spark, fitted), LAYOUT)
+    labels = batch_score(load_models(spark, models), scored_rows)
     path = fresh_path(spark, "labels")
     write_predictions(labels, path)
     return spark.read.parquet(path)

@@ -104,7 +104,9 @@ def ranked(
         F.count(F.lit(1)).alias(f"{name}_size"),
         F.count(F.lit(1)).alias("_weight"),
     )
-    joined = lookup_join(positions, groups, keys, "_weight", null_safe=True, hot_rows=hot_rows)
+    joined = lookup_join(
+        positions, groups, keys, "_weight", null_safe=True, hot_rows=hot_rows, spread_by=[POSITION]
+    )
     return joined.withColumn(name, F.col(POSITION) - F.col(f"{name}_start")).drop(POSITION)
 
 

@@ -99,8 +99,8 @@ def _normal_cdf(z: Column) -> Column:
 def kde_density(
     df: DataFrame,
     x: str,
-    low: float,
-    high: float,
+    low: float | None = None,
+    high: float | None = None,
     steps: int = 50,
     group: str | None = None,
     bandwidth: float | None = None,
@@ -110,8 +110,13 @@ def kde_density(
 
     Equal values are counted first. Every value then adds to each grid point, and the sums
     combine map-side: what is shuffled is groups x grid points, not rows. Without a
-    ``bandwidth`` the normal reference rule is used per group.
+    ``bandwidth`` the normal reference rule is used per group; without bounds the grid
+    reaches from the lowest to the highest value of all groups.
     """
+    if low is None or high is None:
+        least, most = df.agg(F.min(col(x)), F.max(col(x))).first()
+        low = low if low is not None else (least if least is not None else 0.0)
+        high = high if high is not None else (most if most is not None else 1.0)
     df, key = _with_all(df.filter(col(x).isNotNull()), group)
     # The grid is as long as the parameter says, whatever the data.
     grid = F.sequence(F.lit(0), F.lit(steps))

@@ -107,13 +107,13 @@ def _large_groups(df, keys, cols, probs, method, extra, hot_rows) -> DataFrame:
 
 def _by_sorted_arrays(df, keys, cols, probs, method, extra) -> DataFrame:
     arrays = [
-        F.sort_array(F.collect_list(nan_to_null(col(c).cast("double")))).alias(f"_a{i}")
+        F.sort_array(F.collect_list(nan_to_null(col(c).cast("double")))).alias(f"_sorted{i}")
         for i, c in enumerate(cols)
     ]
     grouped = df.groupBy(*[col(k) for k in keys]).agg(*extra, *arrays)
     out = []
     for i, c in enumerate(cols):
-        values = F.col(f"_a{i}")
+        values = F.col(f"_sorted{i}")
         n = F.size(values).cast("double")
         found = [
             F.when(F.size(values) > 0, F.get(values, r.cast("int")))
@@ -122,7 +122,7 @@ def _by_sorted_arrays(df, keys, cols, probs, method, extra) -> DataFrame:
         out += [
             v.alias(quantile_name(c, q)) for v, q in zip(_combine(found, n, probs, method), probs)
         ]
-    kept = [x for x in grouped.columns if not x.startswith("_a")]
+    kept = grouped.columns[: -len(cols)]
     return grouped.select(*[col(x) for x in kept], *out)
 
 

@@ -43,7 +43,9 @@ def stratified_folds(
     classes = classes.withColumn("_from", F.coalesce(F.sum("_n").over(line), F.lit(0))).select(
         col(label), "_class_start", "_from", F.col("_n").alias("_to"), F.col("_n").alias("_weight")
     )
-    joined = lookup_join(positions, classes, [label], "_weight", null_safe=True, hot_rows=hot_rows)
+    joined = lookup_join(
+        positions, classes, [label], "_weight", null_safe=True, hot_rows=hot_rows, spread_by=[POSITION]
+    )
     rank = F.col(POSITION) - F.col("_class_start")
     first, after = F.col("_from"), F.col("_from") + F.col("_to")
 

@@ -225,9 +225,10 @@ def first_n_days_summary(
         starts = df.groupBy(col(layout.id)).agg(
             F.min(day).alias("_first_day"), F.count(F.lit(1)).alias("_w")
         )
-        early = lookup_join(df, starts, [layout.id], "_w", hot_rows=hot_rows).filter(
-            day - F.col("_first_day") < n
+        joined = lookup_join(
+            df, starts, [layout.id], "_w", hot_rows=hot_rows, spread_by=[*layout.order, layout.time_of_day]
         )
+        early = joined.filter(day - F.col("_first_day") < n)
     else:
         raise ValueError(f"unknown scope: {scope}")
     return daily_average_summary(

@@ -27,6 +27,7 @@ def lookup_join(
     null_safe: bool = False,
     hot_rows: int = HOT_ROWS,
     written: bool = False,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the columns of ``table`` (unique per key) to ``rows``.
 
@@ -34,7 +35,8 @@ def lookup_join(
     Hot keys are looked up in a broadcast of bounded size and their rows are spread by
     content over the partitions of the second join; all other keys go through that
     join, for which Catalyst picks the strategy. With ``null_safe`` null keys match
-    null keys, otherwise they match nothing (and are spread too).
+    null keys, otherwise they match nothing (and are spread too). Rows are spread by the
+    hash of ``spread_by``, best a column that is unique per row; by default of all columns.
 
     The table is written first (unless it is ``written`` already): it is read twice, and
     the size of its files lets Catalyst broadcast a small one instead of shuffling the
@@ -56,7 +58,8 @@ def lookup_join(
     scattered = F.col("_hot").isNotNull()
     if not null_safe:
         scattered = scattered | reduce(or_, [col(k).isNull() for k in on])
-    spread = F.when(scattered, F.pmod(F.xxhash64(*content), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
+    place = F.xxhash64(*[col(c) for c in (spread_by or rows.columns)])
+    spread = F.when(scattered, F.pmod(place, F.lit(SPREAD)) + 1).otherwise(F.lit(0))
     marked = rows.join(F.broadcast(hot), same_key, "left").select(*content, "_hot", spread.alias("_spread"))
 
     cold = (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml.regression import LinearRegressionModel
@@ -65,8 +65,9 @@ class Level1:
     feature_set: str
     vector: FeatureVector
     model: FittedEnsemble
-    oof: DataFrame
-    metrics: dict[str, Any]
+    # Only of a model trained in this session, not of a loaded one.
+    oof: DataFrame | None = None
+    metrics: dict[str, Any] = field(default_factory=dict)
 
     def predict(self, df: DataFrame, name: str = "raw", id: str = "id") -> DataFrame:
         return self.model.predict(self.vector.transform(df, [id]), name).select(col(id), name)
@@ -77,8 +78,8 @@ class Level2:
     names: tuple[str, ...]
     model: LinearRegressionModel
     thresholds: tuple[float, ...]
-    oof: DataFrame
-    metrics: dict[str, Any]
+    oof: DataFrame | None = None
+    metrics: dict[str, Any] = field(default_factory=dict)
 
     def predict(self, stacked: DataFrame, id: str = "id") -> DataFrame:
         raw = linear_prediction(self.model, self.names)

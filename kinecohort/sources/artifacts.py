@@ -50,11 +50,11 @@ class Artifacts:
     extra: dict[str, Any] = field(default_factory=dict)
 
 
-def _write_json(spark: SparkSession, path: str, value: Any) -> None:
+def write_json(spark: SparkSession, path: str, value: Any) -> None:
     spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(path)
 
 
-def _read_json(spark: SparkSession, path: str) -> Any:
+def read_json(spark: SparkSession, path: str) -> Any:
     # One line, written above.
     return json.loads(spark.read.text(path).first()[0])
 
@@ -68,7 +68,7 @@ def save_artifacts(artifacts: Artifacts, path: str) -> None:
     if spark is None:
         raise ValueError("nothing to save")
     encoder = artifacts.encoder
-    _write_json(
+    write_json(
         spark,
         f"{path}/meta",
         {
@@ -85,7 +85,7 @@ def save_artifacts(artifacts: Artifacts, path: str) -> None:
 
 
 def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
-    meta = _read_json(spark, f"{path}/meta")
+    meta = read_json(spark, f"{path}/meta")
     sets = {
         n: FeatureArtifacts(
             spark.read.parquet(f"{path}/{n}/group_stats"),

@@ -17,8 +17,10 @@ from kinecohort.operators.series import (
     drop_single_day_series,
     series_features_v3,
 )
+from kinecohort.plans.models import load_models, save_models
+from kinecohort.plans.prepare import Prepared
 from kinecohort.plans.search import draw_trials
-from kinecohort.plans.training import train_level1, train_level2
+from kinecohort.plans.training import Level1, Level2, Trained, batch_score, train_level1, train_level2
 from kinecohort.sources.artifacts import (
     Artifacts,
     FeatureArtifacts,
@@ -193,6 +195,25 @@ def test_two_levels(spark, labelled):
     assert len(labels) == 300 and {r.label for r in labels} <= {0, 1, 2, 3}
 
 
+def test_saved_models_score_alike(spark, labelled, tmp_path):
+    rows = labelled.withColumn("y", F.col("sii"))
+    vector = E.fit_feature_vector(rows, ["a", "b"])
+    data = vector.transform(rows, ["id", "y"])
+    nested = E.Ensemble((E.Ensemble((BOOSTED, FOREST)).to_params("both"), BOOSTED)).fit(data)
+    level1 = Level1("one", "Normal", vector, nested)
+    stacked = level1.predict(labelled, "one")
+    model = E.stack_linear(stacked.join(rows.select("id", "y"), "id"), ["one"])
+    trained = Trained("run-7", {"one": level1}, Level2(("one",), model, (0.4, 1.5, 2.4)))
+    prepared = Prepared({"Normal": labelled}, {}, Artifacts("run-7", {}))
+    want = {r.id: (r.raw, r.label) for r in batch_score(trained, prepared).collect()}
+    save_models(spark, trained, str(tmp_path / "m"))
+    loaded = load_models(spark, str(tmp_path / "m"))
+    got = {r.id: (r.raw, r.label) for r in batch_score(loaded, prepared).collect()}
+    assert len(got) == 300 and got == want
+    with pytest.raises(LineageError):
+        batch_score(loaded, Prepared({"Normal": labelled}, {}, Artifacts("run-8", {})))
+
+
 def test_totals_as_targets_are_refused(labelled):
     with pytest.raises(ValueError, match="0..3"):
         train_level1(labelled.withColumn("sii", F.col("sii") * 20), ["a"], [BOOSTED])
