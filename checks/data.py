@@ -13,8 +13,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinecohort.functions.columns import col
 from kinecohort.operators.series import SeriesLayout
 from kinecohort.plans.presets import NOT_RELEVANT
+from kinecohort.sources.shared import materialize
 
 # Events are sparse (50 to 100 per user), so the rolling window is short here.
 LAYOUT = SeriesLayout(window=10)
@@ -141,14 +143,24 @@ def subject_columns() -> dict[str, str]:
     return cols
 
 
-def subjects(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+def _derived_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _BASE.replace("FROM customer", f"FROM parquet.`{sf_dir}/customer.parquet`").replace(
         "FROM orders", f"FROM parquet.`{sf_dir}/orders.parquet`"
     )
     df = spark.sql(base)
-    return df.select(
-        *[F.expr(e).alias(c) for c, e in subject_columns().items() if keep is None or c in keep]
-    )
+    return df.select(*[F.expr(e).alias(c) for c, e in subject_columns().items()])
+
+
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
+def subjects(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """The subject table, written once per application, as a study would have it stored."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = materialize(_derived_subjects(spark, sf_dir), "subjects")
+    df = _written[key]
+    return df.select(*[col(c) for c in df.columns if keep is None or c in keep])
 
 
 def subjects_sql(keep: list[str] | None = None) -> str:

@@ -258,9 +258,11 @@ _TRAIN_SQL = f"""SELECT id, {names(_FEATURES)} FROM
 
 def _merged_train(spark, sf_dir):
     s = series(spark, sf_dir)
-    # Written first, as the table would be; the expressions that derive it are long.
-    people = materialize(subjects(spark, sf_dir), "subjects")
-    return merge_series_features(clean_train(people, s), series_basic_stats(s, ["X", "enmo", "light"]))
+    merged = merge_series_features(
+        clean_train(subjects(spark, sf_dir), s), series_basic_stats(s, ["X", "enmo", "light"])
+    )
+    # Written, since fitting reads it for the group statistics and for the rows.
+    return materialize(merged, "merged")
 
 
 def _comparable(df):
@@ -307,8 +309,7 @@ _SCORE_SQL = f"""SELECT id, {names(_FEATURES)} FROM
 def feature_engineering_score(spark, sf_dir):
     model, _ = FeatureEngineering(SEED).fit_transform(_merged_train(spark, sf_dir))
     s = series(spark, sf_dir)
-    people = materialize(subjects(spark, sf_dir), "subjects")
-    scored = merge_series_features(clean_test(people), series_basic_stats(s, ["X", "enmo", "light"]))
+    scored = merge_series_features(clean_test(subjects(spark, sf_dir)), series_basic_stats(s, ["X", "enmo", "light"]))
     return _comparable(model.aligned(scored))
 
 

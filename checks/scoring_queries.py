@@ -331,7 +331,7 @@ _FEATURES = [
 
 
 def _model_rows(spark, sf_dir):
-    s, people = series(spark, sf_dir), materialize(subjects(spark, sf_dir), "subjects")
+    s, people = series(spark, sf_dir), subjects(spark, sf_dir)
     merged = merge_series_features(clean_train(people, s), series_basic_stats(s, ["X", "enmo"]))
     rows = merged.select("id", "sii", *[col(c) for c in _FEATURES]).dropna(subset=["sii"])
     return materialize(rows, "model-rows")
@@ -370,7 +370,7 @@ def train_level1_query(spark, sf_dir):
 def prepare_train_query(spark, sf_dir):
     """Key and target of the prepared rows (the features have queries of their own)."""
     prepared = prepare_train(
-        materialize(subjects(spark, sf_dir), "subjects"), series(spark, sf_dir), LAYOUT,
+        subjects(spark, sf_dir), series(spark, sf_dir), LAYOUT,
         {"encoding_dim": 4, "epochs": 3, "learning_rate": 0.01},
     )
     return prepared.frames[P.ENCODED].select("id", "sii")
@@ -379,7 +379,7 @@ def prepare_train_query(spark, sf_dir):
 @query("batch_score")
 def batch_score_query(spark, sf_dir):
     """From raw tables to labels in one go: prepare, train both levels, score every subject."""
-    people, s = materialize(subjects(spark, sf_dir), "subjects"), series(spark, sf_dir)
+    people, s = subjects(spark, sf_dir), series(spark, sf_dir)
     prepared = prepare_train(people, s, LAYOUT, {"encoding_dim": 8, "epochs": 10, "learning_rate": 0.001})
     trained = train(prepared, QUICK_MODELS)
     # As a scoring job of its own would: from saved models and saved fitted values.

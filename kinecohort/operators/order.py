@@ -118,7 +118,10 @@ def running_sum(
     name: str,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Sum of ``amount`` over the rows before this one in its key group (0 on the first)."""
+    """Sum of ``amount`` over the rows before this one in its key group (0 on the first).
+
+    Keys must not be null.
+    """
     positions = positioned(df, [*keys, *order]).withColumn(BLOCK, block_of(block_rows))
     by = [col(k) for k in keys]
     before = Window.partitionBy(BLOCK, *by).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml.regression import LinearRegressionModel
@@ -144,19 +145,24 @@ class Trained:
     level2: Level2
 
 
-def train(prepared: Prepared, models: Mapping[str, Mapping[str, Any]] = P.MODELS) -> Trained:
-    """All level-1 models, then the stack of their out-of-fold predictions."""
-    level1 = {}
-    for name, cfg in models.items():
-        level1[name] = train_level1(
-            prepared.frames[cfg["fs"]],
-            prepared.features(cfg["fs"]),
-            cfg["params"],
-            cfg["target_col"],
-            cfg["init_thresholds"],
-            name,
-            cfg["fs"],
+def train(
+    prepared: Prepared, models: Mapping[str, Mapping[str, Any]] = P.MODELS, parallelism: int = 3
+) -> Trained:
+    """All level-1 models, then the stack of their out-of-fold predictions.
+
+    Level-1 models do not depend on each other and mostly wait for Spark jobs, so several
+    are trained at a time, each from a thread of its own.
+    """
+
+    def fit(item: tuple[str, Mapping[str, Any]]) -> tuple[str, Level1]:
+        name, cfg = item
+        frame, features = prepared.frames[cfg["fs"]], prepared.features(cfg["fs"])
+        return name, train_level1(
+            frame, features, cfg["params"], cfg["target_col"], cfg["init_thresholds"], name, cfg["fs"]
         )
+
+    with ThreadPool(max(1, min(parallelism, len(models)))) as pool:
+        level1 = dict(pool.map(fit, models.items()))
     stacked = stack_predictions({n: m.oof for n, m in level1.items()})
     truth = next(iter(level1.values())).oof.select("id", "y")
     level2 = train_level2(stacked.join(truth, "id"), list(level1))

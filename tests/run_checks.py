@@ -57,6 +57,12 @@ def compare(df, con, sql) -> str:
 def session():
     from pyspark.sql import SparkSession
 
+    if os.environ.get("PLAIN_SESSION"):
+        # Results must not depend on settings: default partitions, another time zone.
+        plain = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "America/New_York")
+        spark = plain.config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+        return spark
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
