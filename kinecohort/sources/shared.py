@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kinecohort/{label}-{uuid4().hex}"
+    """A path not used before; all of an application's lie in one folder, to be removed with it."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/kinecohort/{application}/{label}-{uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
