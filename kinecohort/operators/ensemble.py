@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from operator import add
 from typing import Any
 
@@ -220,21 +221,23 @@ def cv_out_of_fold(
     fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     cuts: Sequence[float],
     folds: int = 5,
+    parallelism: int = 5,
 ) -> CrossValidated:
     """For every fold fit on the others and predict it.
 
     ``data`` has id, fold, y and what the learner needs; ``fit`` returns a function that
-    adds ``raw``. The result is a written table keyed by id: it is read many times later.
+    adds ``raw``. Up to ``parallelism`` folds are fitted at a time, from threads that wait
+    for Spark. The result is a written table keyed by id: it is read many times later.
     """
     own_cache = data.storageLevel == StorageLevel.NONE
     cached = data.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else data
     try:
-        parts, models = [], []
-        for k in range(folds):
-            predict = fit(cached.filter(F.col("fold") != k))
-            models.append(predict)
-            held_out = predict(cached.filter(F.col("fold") == k))
-            parts.append(held_out.select("id", "fold", "y", "raw"))
+        with ThreadPool(max(1, min(parallelism, folds))) as pool:
+            models = pool.map(lambda k: fit(cached.filter(F.col("fold") != k)), range(folds))
+        parts = [
+            predict(cached.filter(F.col("fold") == k)).select("id", "fold", "y", "raw")
+            for k, predict in enumerate(models)
+        ]
         oof = reduce(DataFrame.unionByName, parts).withColumn("label", threshold_label(F.col("raw"), cuts))
         return CrossValidated(materialize(oof, "oof"), models)
     finally:
