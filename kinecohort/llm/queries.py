@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinecohort.llm.common import held_out, table
+from kinecohort.llm.common import held_out, pick, table
+from kinecohort.llm import licenses, mixing, quality
 from kinecohort.llm.language import fit_languages, identify, teachable
 from kinecohort.llm.simhash import near_duplicates
 from kinecohort.llm.tokens import count_tokens
+from kinecohort.sources.shared import materialize
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license labels of every document."""
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and failure bits of every document, and the verdicts of the base rules and of the latest policy."""
+    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    base = F.col("failures").bitwiseAND(F.lit(quality.mask(1))) != 0
+    return rows.withColumn("base_failed", base).withColumn("kept", quality.passes())
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +43,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op8_language, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, weighed by the quality labels."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(mixing.with_quality(materialize(sized, "sizes"), table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_licenses,
+        op4_quality,
+        op5_simhash,
+        op8_language,
+        op9_token_counts,
+        op10_mixing,
+    )
+}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.SQL, "op4_quality": quality.SQL, "op10_mixing": mixing.SQL}
