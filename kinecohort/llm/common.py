@@ -92,6 +92,8 @@ def word_places(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
 #: For hashes of words: an odd number and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of text that are hashed together.
+_HASHED = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -103,18 +105,39 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS: list[np.ndarray] = [_powers(_BASE, 0), _powers(_INVERSE, 0)]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits mixed."""
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes as digits in an odd base, then mixed.
+    """A 64-bit hash of each word (starts in order): its bytes as digits in an odd base, then mixed.
 
-    Differences of one running sum, shifted back by the word's place, so that no loop over words is needed.
+    Differences of one running sum, shifted back by the word's place, so that no loop over words is needed; text by
+    text of _HASHED bytes, so that memory does not depend on the length.
     """
-    if len(_POWERS[0]) <= len(data):
-        _POWERS[:] = [_powers(_BASE, len(data)), _powers(_INVERSE, len(data))]
-    up, down = _POWERS
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        first = starts[a]
+        b = max(a + 1, int(np.searchsorted(starts, first + _HASHED)))
+        part = data[first : ends[b - 1] if b - a == 1 else max(ends[a:b])]
+        if len(_POWERS[0]) <= len(part):
+            _POWERS[:] = [_powers(_BASE, len(part)), _powers(_INVERSE, len(part))]
+        up, down = _POWERS
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        own = starts[a:b] - first
+        out[a:b] = mixed((sums[ends[a:b] - first] - sums[own]) * down[own])
+        a = b
+    return out
+
+
+def lower_words() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with A-Z as a-z, and which of them are part of words: ASCII letters and digits, and all beyond ASCII."""
+    same = np.arange(256, dtype=np.uint8)
+    same[ord("A") : ord("Z") + 1] += 32
+    word = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+    return same, word

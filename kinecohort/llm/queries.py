@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinecohort.llm.common import held_out, pick, table
-from kinecohort.llm import licenses, mixing, quality
+from kinecohort.llm.common import held_out, learnable, pick, table
+from kinecohort.llm import chat, licenses, mixing, quality, toxicity
 from kinecohort.llm.language import fit_languages, identify, teachable
 from kinecohort.llm.simhash import near_duplicates
 from kinecohort.llm.tokens import count_tokens
 from kinecohort.sources.shared import materialize
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, masked, and read back; and one made of control strings."""
+    columns = "conv_id", "turn", "role", "text"
+    given = pick(table(spark, sf_dir, "conversations"), *columns)
+    kinds = dict(given.dtypes)
+    made = spark.range(2).select(
+        F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"),
+        F.col("id").cast(kinds["turn"]).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat.read_back(chat.format_conversations(given.union(made)))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and license labels of every document."""
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
@@ -31,6 +45,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.fit_toxicity(docs, labels.filter(learnable(F.col("doc_id"), 4, 2)))
+    found = toxicity.score(docs, field)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -54,9 +77,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chat,
         op3_licenses,
         op4_quality,
         op5_simhash,
+        op6_toxicity,
         op8_language,
         op9_token_counts,
         op10_mixing,
