@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             start = stop
 
 
+def keep_rows(docs: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, for which decide(batch) is true; batches go through without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(decide(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def word_places(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word (a run of bytes that is_word marks, within a text), and the words before each text."""
     inside = np.zeros(len(data) + 1, bool)

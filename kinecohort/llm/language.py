@@ -13,7 +13,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinecohort.llm.common import learnable, pick, slices, utf8
+from kinecohort.llm.common import keep_rows, learnable, pick, slices, utf8
 
 #: Labelled text that an automaton is built from, for each language: bytes in all, characters of a row, and rows drawn.
 TRAIN_BYTES = 96 << 10
@@ -26,6 +26,8 @@ PIECE = 1024
 #: Bits per byte are turned into a score with this steepness.
 STEEPNESS = 6.0
 UNKNOWN = "und"
+#: Bits per byte from which on a text counts as no known language's: as many as a byte has.
+MOST_BITS = 8.0
 
 
 def _classes() -> np.ndarray:
@@ -176,6 +178,22 @@ def fit_languages(docs: DataFrame) -> Languages:
     return Languages(tuple(sorted((name, text) for name, text in texts.items() if text.strip())))
 
 
+def _judge(model: Languages, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the place of its language (-1: none), the score, and the bits per byte (nan: none)."""
+    n = len(column)
+    best, score, bits = np.full(n, -1), np.zeros(n), np.full(n, np.nan)
+    lettered = np.asarray(pa.compute.match_substring_regex(column, r"\pL").fill_null(False), dtype=bool)
+    if model.texts and lettered.any():
+        data, offsets = reduced(*utf8(column))
+        pointers = np.array([m.bits for m in automata(model)[1]])
+        rate = phrases(model, data, offsets) * pointers[:, None] / np.maximum(1, np.diff(offsets))
+        least = rate.min(axis=0)
+        best = np.where(lettered, rate.argmin(axis=0), -1)
+        score = np.where(lettered, 1 / np.exp2(STEEPNESS * (least - rate)).sum(axis=0), 0.0)
+        bits = np.where(lettered, least, np.nan)
+    return best, score, bits
+
+
 def identify(docs: DataFrame, model: Languages) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and bits_per_byte of every whole text.
 
@@ -183,28 +201,22 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     the first by name. A text that is null or has no letter, or any text if nothing was learned, is `und` with score 0
     and no bits. Null ids and repeated rows are kept; an empty table gives an empty one.
     """
-    names = model.names
+    names = [*model.names, UNKNOWN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lettered = np.asarray(batch.column("lettered"), dtype=bool)
-            data, offsets = reduced(*utf8(batch.column("text")))
-            known = lettered & (len(names) > 0)
-            best, score, bits = np.zeros(len(known), int), np.zeros(len(known)), np.full(len(known), np.nan)
-            if names:
-                pointers = np.array([m.bits for m in automata(model)[1]])
-                rate = phrases(model, data, offsets) * pointers[:, None] / np.maximum(1, np.diff(offsets))
-                best = rate.argmin(axis=0)
-                bits = np.where(known, rate.min(axis=0), np.nan)
-                score = np.where(known, 1 / np.exp2(STEEPNESS * (rate.min(axis=0) - rate)).sum(axis=0), 0.0)
-            labels = [names[b] if k else UNKNOWN for b, k in zip(best, known)]
-            columns = [batch.column("doc_id"), pa.array(labels), pa.array(score), pa.array(bits, mask=~known)]
-            yield pa.record_batch(columns, ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            best, score, bits = _judge(model, batch.column("text"))
+            columns = [batch.column("doc_id"), pa.array([names[b] for b in best], pa.string())]
+            yield pa.record_batch([*columns, pa.array(score), pa.array(bits, mask=np.isnan(bits))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    rows = pick(docs, "doc_id", "text").select("doc_id", "text", lettered)
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_known(docs: DataFrame, model: Languages, most_bits: float = MOST_BITS) -> DataFrame:
+    """Rows of docs, all columns, whose text is in a known language: not `und`, and described by its language's text in
+    fewer bits than bytes alone would take."""
+    return keep_rows(docs, lambda batch: _judge(model, batch.column("text"))[2] < most_bits)
 
 
 def teachable(docs: DataFrame, parts: int = 3, remainder: int = 1) -> DataFrame:

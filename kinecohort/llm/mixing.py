@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinecohort.llm.common import pick
+from kinecohort.sources.shared import materialize
 
 #: A source's documents are ordered in this many parts by the range of their keys.
 PARTS = 1024
@@ -104,6 +105,22 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("doc_id", "source", "size", F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
 
+def mixed_rows(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
+    """Rows of docs (doc_id, source, text and others), each as often as the mix takes it, with all columns.
+
+    Documents are found again by their ids, so these must differ. Documents without an id cannot be named by a decision:
+    they have no part in the mix and stay once. Documents of size 0 come as often as their source has complete epochs.
+    """
+    named = docs.filter(docs["doc_id"].isNotNull())
+    sized = pick(named, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    taken = mix(with_quality(materialize(sized, "sizes"), labels), seed).filter("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("copies").alias("taken_copies"))
+    joined = named.join(taken, named["doc_id"] == taken["taken_id"])
+    again = F.explode(F.sequence(F.lit(1).cast("long"), taken["taken_copies"])).alias("taken_copy")
+    rows = joined.select(*[named[c] for c in named.columns], again).select(*[F.col(c) for c in named.columns])
+    return rows.unionByName(docs.filter(docs["doc_id"].isNull()))
+
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from kinecohort.llm.common import held_out, learnable, pick, table
 from kinecohort.llm import chat, licenses, mixing, quality, toxicity
+from kinecohort.llm.decontamination import contamination
 from kinecohort.llm.language import fit_languages, identify, teachable
+from kinecohort.llm.shards import read_records, write_shards
 from kinecohort.llm.simhash import near_duplicates
 from kinecohort.llm.tokens import count_tokens
 from kinecohort.sources.shared import materialize
@@ -27,6 +29,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(given.union(made)))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, and which."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and license labels of every document."""
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
@@ -54,6 +61,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted)
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each part of each document lies in the shards, with the checksum of its record as read from there."""
+    shards, index = write_shards(table(spark, sf_dir, "documents"))
+    read = read_records(spark, shards).select(F.col("slot").alias("at"), F.crc32("ids").alias("record_crc32"))
+    joined = index.join(read, index["slot"] == read["at"])
+    return joined.select("doc_id", "part", "slot", "shard", "record", "start", "n_tokens", "record_crc32")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -78,10 +93,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat,
+        op2_decontamination,
         op3_licenses,
         op4_quality,
         op5_simhash,
         op6_toxicity,
+        op7_shards,
         op8_language,
         op9_token_counts,
         op10_mixing,

@@ -204,5 +204,5 @@ def keep_one(docs: DataFrame, n: int = 3) -> DataFrame:
     Documents without an id cannot be told apart and are kept.
     """
     kept = near_duplicates(docs, n).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop(kept["kept_id"]).dropDuplicates(["doc_id"])
+    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -6,7 +6,6 @@ import json
 import os
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import public_tokenizers
@@ -20,8 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The vocabulary file, on every machine.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-#: Pre-tokens that a task remembers; beyond it, it starts again from the whole tokens.
-REMEMBERED = 400_000
+#: Words and pre-tokens that a process remembers, each; beyond it, it starts again from the whole tokens.
+REMEMBERED = 1_000_000
 #: Texts of other characters are split by the library; for these, the pattern gives the same pieces (see the tests).
 _OTHER = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]")
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
@@ -87,9 +86,10 @@ class Splitter:
         letters = byte_letters()
         self._letters = [letters[b] for b in range(256)]
 
-    def merged(self, piece: str) -> list[int]:
+    def merged(self, piece: str) -> list:
+        """The tokens that the library merges a piece to."""
         letters = self._letters
-        return [t.id for t in self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))]
+        return self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))
 
     def pieces(self, text: str) -> list[str]:
         if not _OTHER.search(text):
@@ -110,31 +110,83 @@ def splitter(path: str) -> Splitter:
     return _loaded[path]
 
 
-_counts: dict[str, Pieces] = {}
-_ids: dict[str, Pieces] = {}
+#: Stands for a word whose pieces hang on what is around it.
+_UNSURE = 1 << 40
 
 
-def count(text: str, path: str, whole: dict[str, int]) -> int:
-    """Tokens of a text."""
-    split = splitter(path)
+def _alone(word: str) -> bool:
+    """Whether a space and then this word begin a piece wherever they stand.
+
+    The pattern leaves the last blank of a run to what follows, unless that is a blank too.
+    """
+    return bool(word) and not word[0].isspace()
+
+
+class Counts:
+    """Numbers of tokens, by word between single spaces, and by piece."""
+
+    def __init__(self, path: str, whole: dict[str, int]):
+        self.split = splitter(path)
+        self.pieces = Pieces(dict.fromkeys(whole, 1), lambda piece: len(self.split.merged(piece)))
+        self.words = Pieces({}, lambda word: self.slow(" " + word) if _alone(word) else _UNSURE)
+
+    def slow(self, text: str) -> int:
+        return sum(map(self.pieces.__getitem__, self.split.pieces(text)))
+
+    def ordinary(self, text: str) -> int:
+        words = text.split(" ")
+        head = words[0]
+        total = sum(map(self.words.__getitem__, words)) - self.words[head]
+        return total + self.slow(head) if total < _UNSURE else self.slow(text)
+
+    def __call__(self, text: str) -> int:
+        parts = self.split.parts(text)
+        return len(parts) // 2 + sum(map(self.ordinary, parts[::2]))
+
+
+class Encoded:
+    """Token ids as bytes, by word between single spaces, and by piece."""
+
+    def __init__(self, path: str, whole: dict[str, int]):
+        self.split = splitter(path)
+        if self.split.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("token ids of 16 bits cannot hold this vocabulary")
+        self.pieces = Pieces({t: i.to_bytes(2, "little") for t, i in whole.items()}, self._merged)
+        self.words = Pieces({}, lambda word: self.slow(" " + word) if _alone(word) else None)
+
+    def _merged(self, piece: str) -> bytes:
+        return b"".join([t.id.to_bytes(2, "little") for t in self.split.merged(piece)])
+
+    def slow(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split.pieces(text)))
+
+    def ordinary(self, text: str) -> bytes:
+        head, *words = text.split(" ")
+        known = list(map(self.words.__getitem__, words))
+        return self.slow(text) if None in known else self.slow(head) + b"".join(known)
+
+    def __call__(self, text: str) -> bytes:
+        special = self.split.special
+        parts = self.split.parts(text)
+        return b"".join([special[p].to_bytes(2, "little") if k % 2 else self.ordinary(p) for k, p in enumerate(parts)])
+
+
+_counts: dict[str, Counts] = {}
+_encoded: dict[str, Encoded] = {}
+
+
+def counter(path: str, whole: dict[str, int]) -> Counts:
     if path not in _counts:
-        _counts[path] = Pieces(dict.fromkeys(whole, 1), lambda piece: len(split.merged(piece)))
-    parts = split.parts(text)
-    return len(parts) // 2 + sum(sum(map(_counts[path].__getitem__, split.pieces(p))) for p in parts[::2])
+        _encoded.clear()
+        _counts[path] = Counts(path, whole)
+    return _counts[path]
 
 
-def encode(text: str, path: str, whole: dict[str, int]) -> np.ndarray:
-    """Token ids of a text, as unsigned 16-bit numbers."""
-    split = splitter(path)
-    if path not in _ids:
-        pack = lambda ids: np.array(ids, "<u2").tobytes()
-        _ids[path] = Pieces({t: pack([i]) for t, i in whole.items()}, lambda piece: pack(split.merged(piece)))
-        _ids[path].special = {s: pack([i]) for s, i in split.special.items()}
-    known = _ids[path]
-    out = []
-    for k, part in enumerate(split.parts(text)):
-        out.append(known.special[part] if k % 2 else b"".join(map(known.__getitem__, split.pieces(part))))
-    return np.frombuffer(b"".join(out), "<u2")
+def encoder(path: str, whole: dict[str, int]) -> Encoded:
+    if path not in _encoded:
+        _counts.clear()
+        _encoded[path] = Encoded(path, whole)
+    return _encoded[path]
 
 
 def count_tokens(docs: DataFrame, limit: int = 1024, path: str = BYTE_BPE) -> DataFrame:
@@ -146,8 +198,9 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str = BYTE_BPE) -> Da
     whole = whole_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path, whole)
         for batch in slices(batches):
-            counts = [count(t, path, whole) if t else 0 for t in batch.column("text").to_pylist()]
+            counts = [count(t) if t else 0 for t in batch.column("text").to_pylist()]
             sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
             yield pa.record_batch([batch.column("doc_id"), sizes, pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
