@@ -418,9 +418,62 @@ def kde_density_whole(spark, sf_dir):
     return tidy(profile.kde_density(table(spark, sf_dir, "events"), "value", steps=20), 10)
 
 
-@query("kde_density_cumulative")
+_WHOLE_GRID = """(SELECT low + i * ((high - low) / 20) AS at FROM range(21) r(i),
+          (SELECT min(value) AS low, max(value) AS high FROM events)) g"""
+# The published approximation of the normal distribution function, as the operator has it.
+_POLY = "({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+_UPPER = "exp(-z * z / 2) / 2.5066282746310002::DOUBLE * " + _POLY.format(t="(1 / (1 + 0.2316419::DOUBLE * abs(z)))")
+
+
+@query(
+    "kde_density_cumulative",
+    tidy_sql(
+        f"""SELECT "value", avg(CASE WHEN z >= 0 THEN 1 - {_UPPER} ELSE {_UPPER} END) AS density FROM (
+        SELECT g.at AS "value", (g.at - e.value) / h AS z FROM events e, ({_WHOLE_BANDWIDTH}) b, {_WHOLE_GRID})
+        GROUP BY 1""",
+        ["value", "density"],
+        8,
+    ),
+)
 def kde_density_cumulative(spark, sf_dir):
-    return profile.kde_density(table(spark, sf_dir, "events"), "value", steps=20, cumulative=True)
+    return tidy(profile.kde_density(table(spark, sf_dir, "events"), "value", steps=20, cumulative=True), 8)
+
+
+# --- readings that are not numbers, and a group without a name ---------------------------
+
+_HOLES_SQL = """(SELECT CASE WHEN event_type = 'error' THEN '~' ELSE event_type END AS event_type, value
+  FROM events WHERE event_id % 5 <> 0)"""
+
+
+def _with_holes(spark, sf_dir):
+    value = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return table(spark, sf_dir, "events").select(kind.alias("event_type"), value.alias("value"))
+
+
+@query(
+    "histogram_nan",
+    f"""SELECT floor((value - 0.0) / 25) * 25.0 + 0.0 AS bin_start, count(*) AS "count" FROM {_HOLES_SQL} GROUP BY 1""",
+)
+def histogram_nan(spark, sf_dir):
+    return profile.histogram(_with_holes(spark, sf_dir), "value", 25)
+
+
+@query(
+    "kde_density_null_group",
+    tidy_sql(
+        f"""SELECT nullif(event_type, '~') AS event_type, g.at AS "value",
+        sum(exp(-(((g.at - e.value) / h) * ((g.at - e.value) / h)) / 2) / (2.5066282746310002::DOUBLE * h)) / count(*)
+          AS density
+        FROM {_HOLES_SQL} e JOIN ({_BANDWIDTH.replace("FROM events", f"FROM {_HOLES_SQL}")}) b USING (event_type),
+          (SELECT i * 12.5::DOUBLE AS at FROM range(41) r(i)) g
+        GROUP BY 1, 2""",
+        ["value", "density"],
+        10,
+    ),
+)
+def kde_density_null_group(spark, sf_dir):
+    return tidy(profile.kde_density(_with_holes(spark, sf_dir), "value", 0, 500, steps=40, group="event_type"), 10)
 
 
 _BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
@@ -486,3 +539,37 @@ def _rank_sql(c: str) -> str:
 )
 def pairwise_corr_spearman(spark, sf_dir):
     return tidy(profile.pairwise_corr(_correlated(spark, sf_dir), _CORR, "spearman"), 8)
+
+
+@query(
+    "box_stats_nan",
+    tidy_sql(
+        """WITH v AS (SELECT l_returnflag, l_extendedprice AS x FROM lineitem WHERE l_linenumber <> 2),
+        q AS (SELECT l_returnflag, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+          quantile_cont(x, 0.75) AS q3 FROM v GROUP BY 1)
+        SELECT l_returnflag, q1, median, q3,
+          min(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low,
+          max(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
+          count(*) FILTER (NOT x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
+        FROM v JOIN q USING (l_returnflag) GROUP BY 1, 2, 3, 4""",
+        _BOX,
+        3,
+    ),
+)
+def box_stats_nan(spark, sf_dir):
+    x = F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))
+    return tidy(profile.box_stats(table(spark, sf_dir, "lineitem").select("l_returnflag", x.alias("x")), "x", "l_returnflag"), 3)
+
+
+def _correlated_nan(spark, sf_dir):
+    tax = F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("l_tax"))
+    return table(spark, sf_dir, "lineitem").withColumn("l_tax", tax).select(*_CORR)
+
+
+@query(
+    "pairwise_corr_nan",
+    tidy_sql(_pairs_sql(lambda a, b: f"corr({a}, {b}) AS value FROM ({_CORR_SQL})"), ["value"], 8),
+)
+def pairwise_corr_nan(spark, sf_dir):
+    """Readings that are not numbers count as missing ones."""
+    return tidy(profile.pairwise_corr(_correlated_nan(spark, sf_dir), _CORR), 8)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
-from operator import add
+from operator import add, and_
 from typing import Any
 
 import numpy as np
@@ -31,8 +31,7 @@ FEATURES = "features"
 BOOSTED = ("LGBMRegressor", "XGBRegressor", "CatBoostRegressor")
 FOREST = "RandomForestRegressor"
 NESTED = "EnsembleModel"
-# The parameter names of those libraries per MLlib parameter. Leaf counts,
-# L1/L2 penalties and switches without a counterpart are left out.
+# The parameter names of those libraries per MLlib parameter.
 PARAMETERS = {
     "iterations": ("n_estimators", "iterations"),
     "stepSize": ("learning_rate",),
@@ -41,8 +40,18 @@ PARAMETERS = {
     "featureSubsetStrategy": ("colsample_bytree", "feature_fraction", "colsample_bylevel"),
     "minInstancesPerNode": ("min_data_in_leaf", "min_child_weight"),
     "minInfoGain": ("min_gain_to_split",),
+    "maxLeaves": ("num_leaves",),
     "seed": ("random_state", "random_seed"),
 }
+# Parameters without a counterpart in MLlib, which are named but have no effect.
+IGNORED = ("lambda_l1", "lambda_l2", "reg_alpha", "reg_lambda", "bagging_freq")
+# What the libraries take by default.
+DEFAULTS: dict[str, dict[str, Any]] = {
+    "LGBMRegressor": {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "min_data_in_leaf": 20},
+    "XGBRegressor": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6, "min_child_weight": 1},
+    "CatBoostRegressor": {"iterations": 1000, "learning_rate": 0.03, "depth": 6},
+    "RandomForestRegressor": {"n_estimators": 100, "colsample_bytree": 1.0},
+}
 MLLIB_MAX_DEPTH = 30
 
 
@@ -87,35 +96,69 @@ def _given(params: Mapping[str, Any], name: str) -> Any:
     return next((params[k] for k in PARAMETERS[name] if k in params), None)
 
 
-def build_regressor(model_class: str, params: Mapping[str, Any], label: str = "y", prediction: str = "prediction"):
-    """The MLlib learner for a member, with the parameters it has counterparts for."""
-    common: dict[str, Any] = {"featuresCol": FEATURES, "labelCol": label, "predictionCol": prediction}
-    for name, convert in (("subsamplingRate", float), ("minInfoGain", float), ("seed", int)):
-        value = _given(params, name)
+def ignored_parameters(params: Mapping[str, Any]) -> list[str]:
+    """Given parameters that have no effect here."""
+    return sorted(k for k in params if k in IGNORED)
+
+
+def _resolved(model_class: str, params: Mapping[str, Any]) -> dict[str, Any]:
+    """MLlib names and values: those given, else the library's defaults. Unknown names are an error."""
+    if model_class not in DEFAULTS:
+        raise ValueError(f"unknown model class: {model_class}")
+    known = {k for names in PARAMETERS.values() for k in names}
+    unknown = sorted(set(params) - known - set(IGNORED))
+    if unknown:
+        raise ValueError(f"unknown parameters of {model_class}: {unknown}")
+    out = {}
+    for name in PARAMETERS:
+        given = _given(params, name)
+        value = given if given is not None else _given(DEFAULTS[model_class], name)
         if value is not None:
-            common[name] = convert(value)
-    leaf = _given(params, "minInstancesPerNode")
-    if leaf is not None:
-        common["minInstancesPerNode"] = max(1, round(leaf))
-    depth = _given(params, "maxDepth")
-    if depth is not None and depth > 0:
-        common["maxDepth"] = min(int(depth), MLLIB_MAX_DEPTH)
-    share = _given(params, "featureSubsetStrategy")
+            out[name] = value
+    return out
+
+
+def build_regressor(
+    model_class: str,
+    params: Mapping[str, Any],
+    label: str = "y",
+    prediction: str = "prediction",
+    rows: int | None = None,
+):
+    """The MLlib learner for a member: its library's defaults, and over them the given parameters.
+
+    ``rows`` is the number of training rows: a least gain is a sum over rows there and a mean
+    over rows here. Leaves bound the depth of a tree that has no more of them. Without either, a tree
+    is as deep as MLlib allows; a greater depth is an error.
+    """
+    given = _resolved(model_class, params)
+    common: dict[str, Any] = {"featuresCol": FEATURES, "labelCol": label, "predictionCol": prediction}
+    if "subsamplingRate" in given:
+        common["subsamplingRate"] = float(given["subsamplingRate"])
+    if "seed" in given:
+        common["seed"] = int(given["seed"])
+    if given.get("minInfoGain"):
+        if not rows:
+            raise ValueError("a least gain needs the number of training rows")
+        common["minInfoGain"] = float(given["minInfoGain"]) / rows
+    if "minInstancesPerNode" in given:
+        common["minInstancesPerNode"] = max(1, round(given["minInstancesPerNode"]))
+    depth = given.get("maxDepth")
+    depth = None if depth is None or depth <= 0 else int(depth)
+    if depth is not None and depth > MLLIB_MAX_DEPTH:
+        raise ValueError(f"depth {depth} exceeds {MLLIB_MAX_DEPTH}, the most that MLlib grows")
+    if "maxLeaves" in given:
+        by_leaves = max(1, (int(given["maxLeaves"]) - 1).bit_length())
+        depth = min(depth or MLLIB_MAX_DEPTH, by_leaves)
+    common["maxDepth"] = depth or MLLIB_MAX_DEPTH
+    share = given.get("featureSubsetStrategy")
     if share is not None:
         common["featureSubsetStrategy"] = "all" if float(share) >= 1 else str(float(share))
-    count = _given(params, "iterations")
     if model_class in BOOSTED:
-        if count is not None:
-            common["maxIter"] = int(count)
-        rate = _given(params, "stepSize")
-        if rate is not None:
-            common["stepSize"] = float(rate)
-        return GBTRegressor(checkpointInterval=10, **common)
-    if model_class == FOREST:
-        if count is not None:
-            common["numTrees"] = int(count)
-        return RandomForestRegressor(checkpointInterval=10, **common)
-    raise ValueError(f"unknown model class: {model_class}")
+        return GBTRegressor(
+            checkpointInterval=10, maxIter=int(given["iterations"]), stepSize=float(given["stepSize"]), **common
+        )
+    return RandomForestRegressor(checkpointInterval=10, numTrees=int(given["iterations"]), **common)
 
 
 # --- weighted votes ---------------------------------------------------------------
@@ -183,18 +226,17 @@ class Ensemble:
 
     def fit(self, df: DataFrame, label: str = "y") -> FittedEnsemble:
         """Fit on rows with a feature vector and a label."""
+        gains = any("min_gain_to_split" in p["params"] for p in self.params)
+        rows = df.count() if gains else None
         members = []
         for p in self.params:
             if p["model_class"] == NESTED:
                 model: Any = Ensemble(tuple(p["params"]["params"])).fit(df, label)
             else:
-                model = build_regressor(p["model_class"], p["params"], label).fit(df)
+                model = build_regressor(p["model_class"], p["params"], label, rows=rows).fit(df)
             members.append(Member(p["name"], float(p.get("weight", 1)), model))
         return FittedEnsemble(tuple(members))
 
-    def clone(self) -> Ensemble:
-        return Ensemble(self.params)
-
     def to_params(self, name: str) -> dict[str, Any]:
         return {"name": name, "model_class": NESTED, "params": {"params": list(self.params)}}
 
@@ -253,9 +295,22 @@ def fold_scores(oof: DataFrame) -> DataFrame:
 
 
 def stack_predictions(predictions: Mapping[str, DataFrame], value: str = "raw", id: str = "id") -> DataFrame:
-    """One column per model, side by side, matched by id."""
-    frames = [p.select(col(id), col(value).alias(name)) for name, p in predictions.items()]
-    return reduce(lambda a, b: a.join(b, id), frames)
+    """One column per model, side by side, matched by id.
+
+    All models must have predicted the same ids, each once: an id that is null, that a model
+    lacks, or that it has twice, is an error when the rows are read.
+    """
+    each = [
+        p.select(col(id), F.lit(i).alias("_model"), col(value).cast("double").alias("_value"))
+        for i, p in enumerate(predictions.values())
+    ]
+    rows = reduce(DataFrame.unionByName, each).groupBy(col(id))
+    counts = [F.count_if(F.col("_model") == i).alias(f"_n{i}") for i in range(len(each))]
+    values = [F.max(F.when(F.col("_model") == i, F.col("_value"))).alias(n) for i, n in enumerate(predictions)]
+    once = reduce(and_, [F.col(f"_n{i}") == 1 for i in range(len(each))]) & col(id).isNotNull()
+    text = F.concat(F.lit("not predicted once by every model: id "), F.coalesce(col(id).cast("string"), F.lit("null")))
+    stacked = rows.agg(*counts, *values).filter(F.when(once, True).otherwise(F.raise_error(text).cast("boolean")))
+    return stacked.select(col(id), *[col(n) for n in predictions])
 
 
 def stack_linear(df: DataFrame, names: Sequence[str], label: str = "y") -> LinearRegressionModel:

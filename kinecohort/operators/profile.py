@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinecohort.functions.columns import col
+from kinecohort.functions.columns import col, nan_to_null
 from kinecohort.operators.order import running_sum
 from kinecohort.operators.quantiles import quantile_name, quantiles
 from kinecohort.operators.skew import lookup_join
@@ -56,10 +56,11 @@ def value_counts(df: DataFrame, x: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, x: str, width: float, low: float = 0.0) -> DataFrame:
-    """Rows per bin ``[bin_start, bin_start + width)``."""
-    place = F.floor((col(x) - F.lit(float(low))) / F.lit(float(width)))
+    """Rows per bin ``[bin_start, bin_start + width)``; null and NaN are in none."""
+    value = nan_to_null(col(x).cast("double"))
+    place = F.floor((value - F.lit(float(low))) / F.lit(float(width)))
     start = (place * F.lit(float(width)) + F.lit(float(low))).alias("bin_start")
-    return df.filter(col(x).isNotNull()).groupBy(start).agg(F.count(F.lit(1)).alias("count"))
+    return df.filter(value.isNotNull()).groupBy(start).agg(F.count(F.lit(1)).alias("count"))
 
 
 def _with_all(df: DataFrame, group: str | None) -> tuple[DataFrame, str]:
@@ -71,7 +72,8 @@ def normal_reference_bandwidth(
 ) -> DataFrame:
     """Per group 1.06 * min(std, IQR / 1.34) * n^(-1/5), of the first of these that is not 0."""
     df, key = _with_all(df, group)
-    sizes = [F.count(col(x)).alias("_n"), F.stddev_samp(col(x)).alias("_sd")]
+    value = nan_to_null(col(x).cast("double"))
+    sizes = [F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd")]
     q = quantiles(df, [key], [x], (0.25, 0.75), "linear", extra=sizes, small_rows=small_rows)
     q1, q3 = col(quantile_name(x, 0.25)), col(quantile_name(x, 0.75))
     spread = F.least(F.col("_sd"), (q3 - q1) / F.lit(1.34))
@@ -108,43 +110,49 @@ def kde_density(
 ) -> DataFrame:
     """Gaussian kernel density of ``x`` per group on ``steps + 1`` points from low to high.
 
-    Equal values are counted first. Every value then adds to each grid point, and the sums
-    combine map-side: what is shuffled is groups x grid points, not rows. Without a
-    ``bandwidth`` the normal reference rule is used per group; without bounds the grid
-    reaches from the lowest to the highest value of all groups.
+    Null and NaN values have no part in it; a null group is a group. The bandwidth, one number per
+    group, is attached to the rows, and every grid point is a sum over them: these combine
+    map-side, and one row per group and task is shuffled. Without a ``bandwidth`` the normal
+    reference rule is used per group; without bounds the grid reaches from the lowest to the
+    highest value of all groups.
     """
-    if low is None or high is None:
-        least, most = df.agg(F.min(col(x)), F.max(col(x))).first()
-        low = low if low is not None else (least if least is not None else 0.0)
-        high = high if high is not None else (most if most is not None else 1.0)
-    df, key = _with_all(df.filter(col(x).isNotNull()), group)
-    # The grid is as long as the parameter says, whatever the data.
-    grid = F.sequence(F.lit(0), F.lit(steps))
-    counted = df.groupBy(col(key), col(x)).agg(F.count(F.lit(1)).alias("_n"))
+    value = nan_to_null(col(x).cast("double"))
+    df, key = _with_all(df, group)
+    rows = df.select(col(key), value.alias("_x")).filter(F.col("_x").isNotNull())
+    lowest = F.lit(float(low)) if low is not None else F.coalesce(rows.agg(F.min("_x")).scalar(), F.lit(0.0))
+    highest = F.lit(float(high)) if high is not None else F.coalesce(rows.agg(F.max("_x")).scalar(), F.lit(1.0))
+    rows = rows.withColumns({"_low": lowest, "_step": (highest - lowest) / F.lit(float(steps))})
     if bandwidth is None:
-        sizes = df.groupBy(col(key)).agg(F.count(F.lit(1)).alias("_w"))
-        widths = normal_reference_bandwidth(df, x, key).join(sizes, key)
-        counted = lookup_join(counted, widths, [key], "_w", how="inner")
-    else:
-        counted = counted.withColumn("bandwidth", F.lit(float(bandwidth)))
-    at = F.lit(float(low)) + F.col("_i") * F.lit((float(high) - float(low)) / steps)
-    z = (F.col("_at") - col(x)) / F.col("bandwidth")
-    if cumulative:
-        kernel = _normal_cdf(z)
+        sizes = df.groupBy(col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_w"))
+        widths = normal_reference_bandwidth(df, x, key)
+        widths = widths.join(sizes, widths[key].eqNullSafe(sizes["_key"])).drop("_key")
+        rows = lookup_join(rows, widths, [key], "_w", how="inner", null_safe=True)
     else:
-        kernel = F.exp(-z * z / 2) / (F.lit(2.5066282746310002) * F.col("bandwidth"))
-    sums = (
-        counted.withColumn("_i", F.explode(grid))
-        .withColumn("_at", at)
-        .groupBy(col(key), "_i", F.col("_at").alias("value"))
-        .agg((F.sum(kernel * F.col("_n")) / F.sum("_n")).alias("density"))
+        rows = rows.withColumn("bandwidth", F.lit(float(bandwidth)))
+
+    def kernel(i: int) -> Column:
+        z = (F.col("_low") + F.lit(float(i)) * F.col("_step") - F.col("_x")) / F.col("bandwidth")
+        return _normal_cdf(z) if cumulative else F.exp(-z * z / 2) / (F.lit(2.5066282746310002) * F.col("bandwidth"))
+
+    sums = rows.groupBy(col(key)).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.first("_low").alias("_low"),
+        F.first("_step").alias("_step"),
+        *[F.sum(kernel(i)).alias(f"_s{i}") for i in range(steps + 1)],
+    )
+    points = F.array(
+        *[
+            F.struct((F.col("_low") + F.lit(float(i)) * F.col("_step")).alias("value"), (F.col(f"_s{i}") / F.col("_n")).alias("density"))
+            for i in range(steps + 1)
+        ]
     )
-    out = sums.select(*([col(key)] if group else []), "value", "density")
-    return out
+    out = sums.select(*([col(key)] if group else []), F.explode(points).alias("_p"))
+    return out.select(*([col(key)] if group else []), "_p.*")
 
 
 def box_stats(df: DataFrame, x: str, group: str, small_rows: int | None = None) -> DataFrame:
-    """Quartiles per group and the outermost values within 1.5 interquartile ranges."""
+    """Quartiles per group and the outermost values within 1.5 interquartile ranges; NaN counts as null."""
+    df = df.select(col(group), nan_to_null(col(x).cast("double")).alias(x))
     rows = [F.count(F.lit(1)).alias("_w")]
     q = quantiles(df, [group], [x], (0.25, 0.5, 0.75), "linear", extra=rows, small_rows=small_rows)
     quartiles = q.select(
@@ -167,7 +175,8 @@ def box_stats(df: DataFrame, x: str, group: str, small_rows: int | None = None)
 
 
 def pairwise_corr(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """Correlation of every ordered pair of columns over the rows that have both values."""
+    """Correlation of every ordered pair of columns over the rows that have both values (NaN is none)."""
+    df = df.select(*[nan_to_null(col(c).cast("double")).alias(c) for c in cols])
     if method == "spearman":
         return _spearman(df, cols)
     if method != "pearson":

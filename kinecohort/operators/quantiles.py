@@ -3,9 +3,10 @@
 The built-in exact percentiles keep every distinct value of a group in one task, and the
 approximate ones return another element. Here groups of a checked size are sorted as
 arrays within the ordinary aggregation; larger ones are narrowed first: each pass counts
-the values of the current interval in equal-width bins (counts combine map-side) and
-keeps the bin that holds the wanted rank, so that only a sliver of the values is ordered
-at the end. Both ways return the same elements.
+the values of the current interval in bins (counts combine map-side) and keeps the bin
+that holds the wanted rank, until no interval holds more than LAST_VALUES values, or it
+holds equal ones only. Bins are of equal width in one pass and of equal ratio in the next, so
+that values over any range of magnitudes come apart. Both ways return the same elements.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from kinecohort.sources.shared import materialize
 # Values of one group that may be sorted as arrays in one task (8 bytes each).
 SMALL_GROUP_VALUES = 1_000_000
 BINS = 1024
-PASSES = 2
+# Values of an interval that may be ordered in one task at the end.
+LAST_VALUES = 100_000
+# Far beyond what doubles can need; more would be a fault of this module.
+MOST_PASSES = 500
 
 
 def nearest_rank(n: Column, q: float) -> Column:
@@ -126,7 +130,36 @@ def _by_sorted_arrays(df, keys, cols, probs, method, extra) -> DataFrame:
     return grouped.select(*[col(x) for x in kept], *out)
 
 
-def _by_narrowing(df, keys, cols, probs, method, hot_rows) -> DataFrame:
+def largest_interval(state: DataFrame) -> int:
+    """Values in the fullest interval of different values (what a task may have to order)."""
+    each = state.select(F.explode("_ivs").alias("iv")).filter("iv.lo < iv.hi")
+    return each.agg(F.max("iv.n")).first()[0] or 0
+
+
+def _place(by_ratio: bool) -> Column:
+    """Bin of v within lo .. hi, never falling as v grows; infinities have bins of their own.
+
+    The lowest and the highest value are never in one bin, so every pass gets on.
+    """
+    v, most = F.col("v"), F.lit(1.7976931348623157e308)
+    lo, hi = F.greatest(F.col("lo"), -most), F.least(F.col("hi"), most)
+    if by_ratio:
+        # Signs come apart first, then magnitudes.
+        positive = (F.log(v) - F.log(lo)) / F.nullif(F.log(hi) - F.log(lo), F.lit(0.0))
+        negative = (F.log(-lo) - F.log(-v)) / F.nullif(F.log(-lo) - F.log(-hi), F.lit(0.0))
+        signs = F.when(v < 0, 0).when(v == 0, 1).otherwise(2).cast("double") / F.lit(float(BINS))
+        part = F.when((lo <= 0) & (hi >= 0), signs).when(lo > 0, positive).otherwise(negative)
+    else:
+        # Halves, since the difference may be beyond all doubles.
+        part = (v / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0))
+    inner = F.least(F.greatest(F.floor(part * F.lit(float(BINS))), F.lit(0)), F.lit(BINS - 1)).cast("long")
+    own = F.when(v == F.lit(float("-inf")), F.lit(-2)).when(v == F.lit(float("inf")), F.lit(BINS + 1))
+    own = own.when(v <= lo, F.lit(-1)).when(v >= hi, F.lit(BINS))
+    return own.otherwise(F.coalesce(inner, F.lit(0))).cast("long")
+
+
+def _by_narrowing(df, keys, cols, probs, method, hot_rows, last_values: int | None = None) -> DataFrame:
+    last_values = LAST_VALUES if last_values is None else last_values
     by = [col(k) for k in keys]
     values = [nan_to_null(col(c).cast("double")) for c in cols]
     rows = df.select(*by, F.array(*values).alias("_vals"))
@@ -146,6 +179,7 @@ def _by_narrowing(df, keys, cols, probs, method, hot_rows) -> DataFrame:
             F.lit(i).alias("c"),
             F.col(f"_lo{i}").alias("lo"),
             F.col(f"_hi{i}").alias("hi"),
+            F.col(f"_n{i}").alias("n"),
             F.array(*wanted).alias("rs"),
         )
 
@@ -153,10 +187,14 @@ def _by_narrowing(df, keys, cols, probs, method, hot_rows) -> DataFrame:
     state = bounds.select(
         *by, "_w", F.filter(intervals, lambda iv: iv["lo"].isNotNull()).alias("_ivs")
     )
-    for _ in range(PASSES):
+    for i in range(MOST_PASSES):
         # Each state is written: the next pass must not repeat the scans of this one.
-        state = _narrow(rows, keys, materialize(state, "intervals"), hot_rows)
-    state = materialize(state, "intervals")
+        state = materialize(state, "intervals")
+        if largest_interval(state) <= last_values:
+            break
+        state = _narrow(rows, keys, state, hot_rows, by_ratio=i % 2 == 1)
+    else:
+        raise RuntimeError("intervals do not get narrower")
 
     inside = _inside(rows, keys, state, hot_rows)
     ordered = Window.partitionBy(*by, "c", "lo").orderBy("v")
@@ -218,14 +256,10 @@ def _targets(counted: DataFrame) -> DataFrame:
     )
 
 
-def _narrow(rows: DataFrame, keys, state: DataFrame, hot_rows) -> DataFrame:
+def _narrow(rows: DataFrame, keys, state: DataFrame, hot_rows, by_ratio: bool = False) -> DataFrame:
     by = [col(k) for k in keys]
-    width = F.col("hi") - F.col("lo")
-    place = F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0)) * F.lit(BINS))
-    binned = _inside(rows, keys, state, hot_rows).withColumn(
-        "bin", F.least(F.coalesce(place, F.lit(0)), F.lit(BINS - 1).cast("long"))
-    )
-    # At most BINS rows per interval from here on.
+    binned = _inside(rows, keys, state, hot_rows).withColumn("bin", _place(by_ratio))
+    # At most BINS + 4 rows per interval from here on.
     ordered = Window.partitionBy(*by, "c", "lo").orderBy("bin")
     counted = (
         binned.groupBy(*by, "c", "lo", "bin")
@@ -244,11 +278,12 @@ def _narrow(rows: DataFrame, keys, state: DataFrame, hot_rows) -> DataFrame:
         "c",
         F.col("new_lo").alias("lo"),
         F.col("new_hi").alias("hi"),
+        "n",
         F.struct(F.col("x.t").alias("t"), (F.col("x.r") - (F.col("cum") - F.col("n"))).alias("r")).alias("target"),
     )
     intervals = kept.groupBy(*by, "c", "lo", "hi").agg(
-        F.collect_list("target").alias("rs"), F.max("_w").alias("_w")
+        F.max("n").alias("n"), F.collect_list("target").alias("rs"), F.max("_w").alias("_w")
     )
     return intervals.groupBy(*by).agg(
-        F.collect_list(F.struct("c", "lo", "hi", "rs")).alias("_ivs"), F.max("_w").alias("_w")
+        F.collect_list(F.struct("c", "lo", "hi", "n", "rs")).alias("_ivs"), F.max("_w").alias("_w")
     )

@@ -15,6 +15,7 @@ from kinecohort.operators.order import POSITION, positioned
 from kinecohort.operators.skew import HOT_ROWS, lookup_join
 
 FOLDS = 5
+MAX_LABELS = 1000
 
 
 def stratified_folds(
@@ -77,9 +78,15 @@ def quadratic_kappa(
     """Quadratic weighted kappa per group, from the counts per label pair.
 
     Labels weigh by their place among the labels that occur, not by their value. A single
-    label throughout gives NaN.
+    label throughout gives NaN. More than MAX_LABELS distinct values are an error: those are
+    scores, not labels, and their pairs would meet in one task.
     """
     cells = confusion_matrix(df, y, p, by)
+    # Counted before any pair is gathered; a sketch, since the limit is far above any scale.
+    kinds = [F.approx_count_distinct(c).alias(f"_{c}") for c in ("y_true", "y_pred")]
+    distinct = cells.agg(*kinds).select(F.greatest("_y_true", "_y_pred")).scalar()
+    checked = F.when(distinct > MAX_LABELS, F.raise_error(F.lit(f"more than {MAX_LABELS} labels")).cast("boolean")).otherwise(True)
+    cells = cells.filter(checked)
     labels = F.array_sort(F.array_union(F.collect_set("y_true"), F.collect_set("y_pred")))
     grouped = cells.groupBy(*[col(k) for k in by]).agg(
         labels.alias("_labels"), F.collect_list(F.struct("y_true", "y_pred", "n")).alias("_cells")
@@ -110,6 +117,15 @@ def cv_summary(oof: DataFrame, y: str = "y", p: str = "label", fold: str = "fold
     ).withColumn("oof_kappa", whole.scalar())
 
 
+def score_against(labels: DataFrame, truth: DataFrame, target: str, id: str = "id") -> DataFrame:
+    """Kappa, accuracy and rows of predicted labels (id, label) whose true value is known."""
+    known = truth.select(col(id), col(target).cast("int").alias("y")).filter(F.col("y").isNotNull())
+    both = labels.join(known, id)
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("label")).cast("double")).alias("accuracy")
+    ).withColumn("kappa", quadratic_kappa(both, "y", "label").scalar())
+
+
 # --- cut points and blends ----------------------------------------------------
 
 
@@ -184,12 +200,20 @@ def _bin(score: Column, cuts: Sequence[float]) -> Column:
     return F.coalesce(above, F.lit(len(cuts)))
 
 
+def _on_scale(y: Column, labels: int) -> Column:
+    """The label as an integer; null, a fraction, or one off the scale 0 .. labels-1 is an error."""
+    whole = y.try_cast("int")
+    good = (y.cast("double") == whole) & (whole >= 0) & (whole < labels)
+    text = F.concat(F.lit(f"label off the scale 0..{labels - 1}: "), F.coalesce(y.cast("string"), F.lit("null")))
+    return F.when(F.coalesce(good, F.lit(False)), whole).otherwise(F.raise_error(text).cast("int"))
+
+
 def tune_thresholds(df: DataFrame, y: str, raw: str, cuts: Sequence[float], labels: int = 4) -> DataFrame:
     """Cut points among ``cuts`` with the highest kappa: one row (kappa, t0, t1, ...).
 
-    Labels must lie on the scale 0 .. labels-1.
+    Labels must lie on the scale 0 .. labels-1; any other, or a null one, is an error.
     """
-    binned = df.groupBy(col(y).cast("int").alias("y"), _bin(col(raw), cuts).alias("b")).agg(
+    binned = df.groupBy(_on_scale(col(y), labels).alias("y"), _bin(col(raw), cuts).alias("b")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return _cut_search(binned.withColumn("_one", F.lit(0)), cuts, labels, ["_one"]).drop("_one")
@@ -238,7 +262,7 @@ def tune_blend(
     """Best cut points for every candidate of blend weights, one row per candidate.
 
     Each row is scored under all candidates, but counted at once map-side: the shuffle
-    carries candidates x classes x bins numbers per task.
+    carries candidates x classes x bins numbers per task. A label off the scale is an error.
     """
     candidates = F.array(
         *[
@@ -246,7 +270,7 @@ def tune_blend(
             for i, ws in enumerate(weights)
         ]
     )
-    each = df.select(col(y).cast("int").alias("y"), *[col(p) for p in predictions], F.explode(candidates).alias("c"))
+    each = df.select(_on_scale(col(y), labels).alias("y"), *[col(p) for p in predictions], F.explode(candidates).alias("c"))
     blended = reduce(add, [col(p) * F.col(f"c.w{j}") for j, p in enumerate(predictions)])
     binned = each.groupBy(F.col("c.i").alias("candidate"), "y", _bin(blended, cuts).alias("b")).agg(
         F.count(F.lit(1)).alias("n")

@@ -17,15 +17,14 @@ from kinecohort.operators.scoring import quadratic_kappa, refine_thresholds, str
 from kinecohort.plans import presets as P
 from kinecohort.plans.training import SCORE_RANGE
 
-# The searched ranges (low, high, step; no step means continuous).
-CHOICES = {"n_estimators": [500, 1000, 2000], "bagging_freq": [1]}
+# The searched ranges (low, high, step; no step means continuous). Only
+# parameters that the learners here have; penalties would be noise in the search.
+CHOICES = {"n_estimators": [500, 1000, 2000]}
 RANGES = {
     "learning_rate": (0.01, 0.3, None),
     "num_leaves": (20, 3000, 20),
     "max_depth": (3, 20, 1),
     "min_data_in_leaf": (15, 100, 5),
-    "lambda_l1": (0, 100, 5),
-    "lambda_l2": (0, 100, 5),
     "min_gain_to_split": (0.0, 15.0, None),
     "bagging_fraction": (0.5, 1.0, 0.1),
     "feature_fraction": (0.5, 1.0, 0.1),
@@ -88,3 +87,8 @@ def param_search(
         folded.unpersist()
     rows = [(i, s, {k: float(v) for k, v in p.items()}) for i, (p, s) in enumerate(zip(drawn, scores))]
     return df.sparkSession.createDataFrame(rows, "trial int, kappa double, params map<string,double>")
+
+
+def best_trial(trials: DataFrame) -> DataFrame:
+    """The trial with the highest kappa (the first of equals): its parameters and value."""
+    return trials.orderBy(F.desc_nulls_last("kappa"), "trial").limit(1)

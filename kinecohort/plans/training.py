@@ -48,7 +48,9 @@ def evaluate(oof: DataFrame, cuts: Sequence[float], init_cuts: Sequence[float])
     """Fold scores under the start cut points, and all rows under the tuned ones."""
     summary = cv_summary(oof.withColumn("label", threshold_label(F.col("raw"), init_cuts))).first()
     tuned = oof.withColumn("label", threshold_label(F.col("raw"), cuts))
+    per_fold = accuracy(tuned, "y", "label", ["fold"])
     return {
+        "fold_accuracy": per_fold,
         "cv_mean_kappa": summary["cv_mean_kappa"],
         "cv_std_kappa": summary["cv_std_kappa"],
         "oof_kappa": summary["oof_kappa"],
@@ -107,7 +109,7 @@ def train_level1(
     spec = Ensemble(tuple(params))
 
     def fit(train: DataFrame):
-        fitted = spec.clone().fit(train)
+        fitted = spec.fit(train)
         return lambda rows: fitted.predict(rows)
 
     cv = cv_out_of_fold(folded, fit, init_cuts, FOLDS)

@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 from kinecohort.functions.columns import col
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header and an explicit schema; empty fields are null."""
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, mode: str = "FAILFAST") -> DataFrame:
+    """CSV with a header and an explicit schema; empty fields are null.
+
+    A cell that is not of its column's type is an error; with ``mode="PERMISSIVE"`` it is null.
+    """
+    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, mode=mode)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -19,7 +19,8 @@ from kinecohort.operators.series import (
 )
 from kinecohort.plans.models import load_models, save_models
 from kinecohort.plans.prepare import Prepared
-from kinecohort.plans.search import draw_trials
+from kinecohort.plans import presets as P
+from kinecohort.plans.search import best_trial, draw_trials
 from kinecohort.plans.training import Level1, Level2, Trained, batch_score, train_level1, train_level2
 from kinecohort.sources.artifacts import (
     Artifacts,
@@ -177,7 +178,31 @@ def test_parameters_reach_their_counterparts():
     model = E.build_regressor("CatBoostRegressor", params)
     got = (model.getMaxIter(), model.getMaxDepth(), model.getStepSize(), model.getSubsamplingRate())
     assert got == (7, 4, 0.2, 0.5) and model.getFeatureSubsetStrategy() == "0.25" and model.getSeed() == 9
-    assert E.build_regressor("LGBMRegressor", {"max_depth": 40}).getMaxDepth() == 30
+    with pytest.raises(ValueError, match="depth 40"):
+        E.build_regressor("LGBMRegressor", {"max_depth": 40})
+
+
+def test_unknown_parameters_are_refused_and_ignored_ones_named():
+    with pytest.raises(ValueError, match="learning_rat"):
+        E.build_regressor("LGBMRegressor", {"learning_rat": 0.1})
+    assert E.ignored_parameters({"lambda_l1": 1, "max_depth": 3}) == ["lambda_l1"]
+
+
+def test_members_without_settings_differ_by_their_library():
+    built = [E.build_regressor(m["model_class"], m["params"]) for m in P.NAIVE_ENSEMBLE["params"]]
+    settings = {(m.getMaxIter(), m.getStepSize(), m.getMaxDepth(), m.getMinInstancesPerNode()) for m in built}
+    assert len(settings) == 3
+
+
+def test_least_gain_is_per_row(labelled):
+    with pytest.raises(ValueError, match="training rows"):
+        E.build_regressor("LGBMRegressor", {"min_gain_to_split": 7.0})
+    assert E.build_regressor("LGBMRegressor", {"min_gain_to_split": 7.0}, rows=350).getMinInfoGain() == pytest.approx(0.02)
+    data = E.fit_feature_vector(labelled, ["a", "b"]).transform(labelled.withColumn("y", F.col("sii")), ["id", "y"])
+    params = {**QUICK, "min_gain_to_split": 7.0, "min_data_in_leaf": 1}
+    fitted = E.Ensemble(({"name": "m", "model_class": "LGBMRegressor", "params": params},)).fit(data)
+    rows = fitted.predict(data).agg(F.avg((F.col("raw") - F.col("y")) ** 2).alias("error"), F.var_pop("y").alias("spread")).first()
+    assert rows.error < 0.7 * rows.spread
 
 
 def test_two_levels(spark, labelled):
@@ -219,10 +244,15 @@ def test_totals_as_targets_are_refused(labelled):
         train_level1(labelled.withColumn("sii", F.col("sii") * 20), ["a"], [BOOSTED])
 
 
+def test_best_trial_is_the_first_of_the_best(spark):
+    rows = spark.createDataFrame([(0, 0.2), (1, 0.5), (2, 0.5), (3, None)], "trial int, kappa double")
+    assert best_trial(rows).first().trial == 1
+
+
 def test_trials_stay_in_their_ranges():
     trials = draw_trials(50, seed=3)
     assert trials == draw_trials(50, seed=3)
-    assert all(0.01 <= t["learning_rate"] <= 0.3 and t["num_leaves"] % 20 == 0 and 3 <= t["max_depth"] <= 20 for t in trials)
+    assert all(0.01 <= t["learning_rate"] <= 0.3 and t["num_leaves"] % 20 == 0 and not E.ignored_parameters(t) and 3 <= t["max_depth"] <= 20 for t in trials)
     assert {t["bagging_fraction"] for t in trials} <= {0.5, 0.6, 0.7, 0.8, 0.9, 1.0}
 
 
