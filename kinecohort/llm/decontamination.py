@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from kinecohort.llm.common import keep_rows, lower_words, mixed, pick, slices, utf8, word_hashes, word_places
 from kinecohort.sources.shared import materialize
@@ -203,7 +205,8 @@ def matches(items: Items, hashes: np.ndarray, texts: np.ndarray) -> list[tuple[i
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
-def _search(docs: DataFrame, items: Items, kinds: tuple[str, str]) -> DataFrame:
+def _search(docs: DataFrame, items: Items, item_kind: DataType) -> DataFrame:
+    own_kind = to_arrow_type(item_kind)
     names = ["doc_id", "item_id", "distance", "item_words", "first_word", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +218,10 @@ def _search(docs: DataFrame, items: Items, kinds: tuple[str, str]) -> DataFrame:
             if found:
                 t, i, d, s, n = zip(*found)
                 numbers = [pa.array(x, pa.int32()) for x in (d, [len(items.words[k]) for k in i])]
-                own = pa.array([items.ids[k] for k in i])
+                own = pa.array([items.ids[k] for k in i], own_kind)
                 yield pa.record_batch([batch.column("doc_id").take(pa.array(t)), own, *numbers, pa.array(s, pa.int64()), pa.array(n, pa.int32())], names)
 
+    kinds = docs.schema["doc_id"].dataType.simpleString(), item_kind.simpleString()
     return docs.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, item_words int, first_word long, n_words int")
 
 
@@ -234,10 +238,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     documents. Documents are not shuffled, so no passage, however common, meets in one task.
     """
     texts = pick(docs, "doc_id", "text")
-    kinds = (texts.schema["doc_id"].dataType.simpleString(), pick(benchmark, "item_id").schema["item_id"].dataType.simpleString())
+    kind = pick(benchmark, "item_id").schema["item_id"].dataType
     out = None
     for items, last in _blocks(benchmark, similarity, block):
-        found = _search(texts, items, kinds)
+        found = _search(texts, items, kind)
         found = found if last else materialize(found, "matches")
         out = found if out is None else out.union(found)
     return out

@@ -56,8 +56,9 @@ def reduced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Automaton:
     """Suffix automaton of a text, as a table of the next state by state and byte.
 
-    Where no longer match exists, the entry leads on from the start with that byte, and its lowest bit is set: a phrase
-    ended. Reading a text through the table thus counts the longest matches it falls apart into.
+    Where no longer match exists, the entry leads on from the start with that byte. Its lowest two bits say how many phrases
+    ended: the match so far, and the byte itself if the text lacks it. Reading a text through the table thus counts the
+    longest matches it falls apart into.
     """
 
     def __init__(self, text: bytes, code: np.ndarray, symbols: int):
@@ -87,12 +88,13 @@ class Automaton:
                         p = link[p]
             last = new
         table = np.zeros((len(nexts), symbols), np.int32)
-        table[:] = 1  # unknown even from the start: a phrase of its own, back to the start
+        table[:] = 2  # a byte unknown even from the start, where reading goes on
+        table[0] = 1
         for c, q in nexts[0].items():
-            table[:, c] = 2 * q * symbols + 1
+            table[:, c] = 4 * q * symbols + 1
         for s, out in enumerate(nexts):
             for c, q in out.items():
-                table[s, c] = 2 * q * symbols
+                table[s, c] = 4 * q * symbols
         self.table = table.ravel()
         self.bits = math.log2(len(text) + 1)  # of a pointer into the text
 
@@ -135,7 +137,7 @@ def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     order = np.argsort(-lengths, kind="stable")
     owner, starts, lengths = owner[order], starts[order], lengths[order]
     symbols = code[data]
-    counts = np.ones((len(machines), len(owner)), np.int64)  # the phrase that a piece ends in
+    counts = np.zeros((len(machines), len(owner)), np.int64)
     states = np.zeros((len(machines), len(owner)), np.int64)
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
@@ -144,8 +146,9 @@ def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
         now = symbols[starts[:m] + j]
         for i, machine in enumerate(machines):
             step = machine.table[states[i, :m] + now]
-            counts[i, :m] += step & 1
-            states[i, :m] = step >> 1
+            counts[i, :m] += step & 3
+            states[i, :m] = step >> 2
+    counts += states > 0  # the phrase that a piece ends in
     total = np.zeros((len(machines), len(sizes)))
     for i in range(len(machines)):
         total[i] = np.bincount(owner, counts[i], minlength=len(sizes))

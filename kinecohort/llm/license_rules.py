@@ -56,7 +56,7 @@ mit                 2 | licen      | mit licensed
 mit                 2 | licen      | licen[cs]e mit
 x11                 3 | licen      | x11 license
 x11                 3 | licen      | mit x11( style)? license
-mit-0               4 | licen      | mit no attribution( license)?
+mit-0               4 | attribution| mit no attribution( license)?
 bsd-2-clause        4 | bsd        | bsd 2 clause( simplified)?( license)?
 bsd-2-clause        4 | licen      | (simplified|freebsd) (bsd )?license
 bsd-2-clause        3 | bsd        | (2|two) clause bsd( license)?
@@ -111,7 +111,7 @@ gfdl-1.3            4 | licen      | (gnu )?free documentation license( version|
 gfdl-1.2            4 | licen      | (gnu )?free documentation license( version| v)? 1 2
 gfdl-1.1            4 | licen      | (gnu )?free documentation license( version| v)? 1 1
 gfdl                3 | licen      | (gnu )?free documentation license
-gfdl                2 | gfdl       | gnu fdl|gfdl
+gfdl                2 | fdl        | gnu fdl|gfdl
 mpl-2.0             4 | licen      | mozilla public license( version| v)? (2|v2)( 0)?
 mpl-1.1             4 | licen      | mozilla public license( version| v)? 1 1
 mpl-1.0             4 | licen      | mozilla public license( version| v)? 1 0
@@ -236,7 +236,7 @@ proprietary         2 | permission | without( the)?( express| prior)?( written)?
 proprietary         2 | redistribut| redistribution( is)? (prohibited|not permitted)
 disclaimer          1 | warrant    | the software is provided as is without warranty of any kind express or implied
 disclaimer          1 | warrant    | as is without( any)? (express or implied )?warrant(y|ies)
-disclaimer          1 | liab       | in no event shall the (authors|copyright holder|copyright owner)s?
+disclaimer          1 | event      | in no event shall the (authors|copyright holder|copyright owner)s?
 license-reference   1 | licen      | see( the)?( file)? licen[cs]e( txt| md)? (file|for details|for more information)
 license-reference   1 | licen      | licen[cs]ed under( the)?( terms of)?( the)?
 license-reference   1 | licen      | this (file|work|document|dataset|content|text) is licen[cs]ed
