@@ -26,7 +26,7 @@ PIECE = 1024
 #: Bits per byte are turned into a score with this steepness.
 STEEPNESS = 6.0
 UNKNOWN = "und"
-#: Bits per byte from which on a text counts as no known language's: as many as a byte has.
+#: Bits per byte, for all phrases but one, from which on a text is of no known language: as many as a byte has.
 MOST_BITS = 8.0
 
 
@@ -181,20 +181,23 @@ def fit_languages(docs: DataFrame) -> Languages:
     return Languages(tuple(sorted((name, text) for name, text in texts.items() if text.strip())))
 
 
-def _judge(model: Languages, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text the place of its language (-1: none), the score, and the bits per byte (nan: none)."""
+def _judge(model: Languages, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the place of its language (-1: none), the score, the bits per byte (nan: none), and whether all
+    phrases but one take fewer bits than bytes alone would (one is what any text of a letter or two is)."""
     n = len(column)
-    best, score, bits = np.full(n, -1), np.zeros(n), np.full(n, np.nan)
+    best, score, bits, known = np.full(n, -1), np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
     lettered = np.asarray(pa.compute.match_substring_regex(column, r"\pL").fill_null(False), dtype=bool)
     if model.texts and lettered.any():
         data, offsets = reduced(*utf8(column))
         pointers = np.array([m.bits for m in automata(model)[1]])
-        rate = phrases(model, data, offsets) * pointers[:, None] / np.maximum(1, np.diff(offsets))
-        least = rate.min(axis=0)
-        best = np.where(lettered, rate.argmin(axis=0), -1)
+        sizes = np.maximum(1, np.diff(offsets))
+        rate = phrases(model, data, offsets) * pointers[:, None] / sizes
+        least, at = rate.min(axis=0), rate.argmin(axis=0)
+        best = np.where(lettered, at, -1)
         score = np.where(lettered, 1 / np.exp2(STEEPNESS * (least - rate)).sum(axis=0), 0.0)
         bits = np.where(lettered, least, np.nan)
-    return best, score, bits
+        known = lettered & (least - pointers[at] / sizes < MOST_BITS)
+    return best, score, bits, known
 
 
 def identify(docs: DataFrame, model: Languages) -> DataFrame:
@@ -208,7 +211,7 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            best, score, bits = _judge(model, batch.column("text"))
+            best, score, bits, _ = _judge(model, batch.column("text"))
             columns = [batch.column("doc_id"), pa.array([names[b] for b in best], pa.string())]
             yield pa.record_batch([*columns, pa.array(score), pa.array(bits, mask=np.isnan(bits))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
@@ -216,10 +219,10 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_known(docs: DataFrame, model: Languages, most_bits: float = MOST_BITS) -> DataFrame:
-    """Rows of docs, all columns, whose text is in a known language: not `und`, and described by its language's text in
-    fewer bits than bytes alone would take."""
-    return keep_rows(docs, lambda batch: _judge(model, batch.column("text"))[2] < most_bits)
+def keep_known(docs: DataFrame, model: Languages) -> DataFrame:
+    """Rows of docs, all columns, whose text is in a known language: not `und`, and described by phrases of its
+    language's text in fewer bits than bytes alone would take."""
+    return keep_rows(docs, lambda batch: _judge(model, batch.column("text"))[3])
 
 
 def teachable(docs: DataFrame, parts: int = 3, remainder: int = 1) -> DataFrame:
