@@ -18,8 +18,9 @@ from kinecohort.operators.series import SeriesLayout
 from kinecohort.plans.presets import NOT_RELEVANT
 from kinecohort.sources.shared import materialize
 
-# Events are sparse (50 to 100 per user), so the rolling window is short here.
-LAYOUT = SeriesLayout(window=10)
+# Events are sparse (50 to 100 per user), so the rolling window is short here; so are the blocks, of which
+# scale 0.01 has about twenty, with windows that reach from one into the next.
+LAYOUT = SeriesLayout(window=10, block_rows=512)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

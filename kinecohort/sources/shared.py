@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -11,26 +13,42 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``, else the context's checkpoint directory.
 
-    Only a local-mode session without that setting gets a temporary folder; a cluster
-    without it is an error, since a machine-local folder would not survive an executor.
+    Only a local-mode session without either gets a temporary folder, which is removed when
+    Python ends; a cluster without them is an error, since a machine-local folder would not survive an
+    executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="kinecohort-")
+        made = _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="kinecohort-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return _local_dirs[context.applicationId]
 
 
+def application_dir(spark: SparkSession) -> str:
+    """The folder of the tables that this application wrote for itself."""
+    return f"{shared_dir(spark)}/kinecohort/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote for itself.
+
+    For the end of a job, when results are written elsewhere: DataFrames made by this package
+    read those tables.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path not used before; all of an application's lie in one folder, to be removed with it."""
-    application = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/kinecohort/{application}/{label}-{uuid4().hex}"
+    return f"{application_dir(spark)}/{label}-{uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

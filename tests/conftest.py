@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from kinecohort.sources.shared import clear  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,4 +24,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()

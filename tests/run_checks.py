@@ -78,6 +78,7 @@ def session():
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
+    from kinecohort.sources.shared import clear
 
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].replace(".", "").isdigit() else "0.01"
@@ -98,3 +99,4 @@ if __name__ == "__main__":
         failed += not verdict.startswith("ok")
         print(f"{name:32s} {time.time() - t:6.2f}s  {verdict}", flush=True)
     print("failed:", failed)
+    clear(spark)
