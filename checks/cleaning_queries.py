@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.data import ITEMS, series, subject_columns, subjects
 from checks.registry import names, over_both, over_series, over_subjects, query, tidy, tidy_sql
-from kinecohort.functions.columns import cast_numeric_f32, col, threshold_label
+from kinecohort.functions.columns import cast_numeric_f32, col, mean_horizontal, null_count, threshold_label
 from kinecohort.operators import cleaning, group_stats
 from kinecohort.operators.derive import fit_ordinal
 from kinecohort.plans import presets as P
@@ -189,7 +189,7 @@ def completeness_filter(spark, sf_dir):
 
 @query("horizontal_null_count", over_subjects(f"SELECT id, CAST({missing_sql(ITEMS)} AS INT) AS n_missing FROM subjects"))
 def horizontal_null_count(spark, sf_dir):
-    return subjects(spark, sf_dir).select("id", cleaning.horizontal_null_count(ITEMS).alias("n_missing"))
+    return subjects(spark, sf_dir).select("id", null_count(ITEMS).alias("n_missing"))
 
 
 _ITEM_SUM = "(" + " + ".join(f'coalesce("{c}", 0)' for c in ITEMS) + ")"
@@ -198,7 +198,7 @@ _ITEM_MEAN = f"CAST({_ITEM_SUM} AS DOUBLE) / NULLIF({len(ITEMS)} - {missing_sql(
 
 @query("horizontal_mean", tidy_sql(over_subjects(f"SELECT id, {_ITEM_MEAN} AS item_mean FROM subjects"), ["item_mean"]))
 def horizontal_mean(spark, sf_dir):
-    return tidy(subjects(spark, sf_dir).select("id", cleaning.horizontal_mean(ITEMS).alias("item_mean")))
+    return tidy(subjects(spark, sf_dir).select("id", mean_horizontal(ITEMS).alias("item_mean")))
 
 
 _TOTAL = f'round("{P.TOTAL}" + {_ITEM_MEAN} * {missing_sql(ITEMS)})'

@@ -106,14 +106,14 @@ _FIRST_GLOBAL = f"""SELECT id, {_F7} FROM (
   WHERE {_DAY} - (SELECT min({_DAY}) FROM series) < 7 GROUP BY id, "{DATE}") GROUP BY id"""
 
 
-@query("first_n_days_summary", tidy_sql(over_series(FIRST_WEEK), _F7_NAMES))
+@query("first_n_days_summary", tidy_sql(over_series(FIRST_WEEK), _F7_NAMES, 9))
 def first_n_days_summary(spark, sf_dir):
-    return tidy(S.first_n_days_summary(series(spark, sf_dir), 7, S.DAILY_V2, LAYOUT))
+    return tidy(S.first_n_days_summary(series(spark, sf_dir), 7, S.DAILY_V2, LAYOUT), 9)
 
 
-@query("first_n_days_summary_global", tidy_sql(over_series(_FIRST_GLOBAL), _F7_NAMES))
+@query("first_n_days_summary_global", tidy_sql(over_series(_FIRST_GLOBAL), _F7_NAMES, 9))
 def first_n_days_summary_global(spark, sf_dir):
-    return tidy(S.first_n_days_summary(series(spark, sf_dir), 7, S.DAILY_V2, LAYOUT, scope="global"))
+    return tidy(S.first_n_days_summary(series(spark, sf_dir), 7, S.DAILY_V2, LAYOUT, scope="global"), 9)
 
 
 @query(

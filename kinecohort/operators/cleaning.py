@@ -93,11 +93,3 @@ def align_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] =
     if absent:
         raise ValueError(f"features missing from the scored data: {absent}")
     return df.select(*[col(c) for c in [*keep, *features]])
-
-
-def horizontal_null_count(names: Sequence[str]) -> Column:
-    return null_count(names)
-
-
-def horizontal_mean(names: Sequence[str]) -> Column:
-    return mean_horizontal(names)

@@ -219,8 +219,7 @@ def first_n_days_summary(
     """
     day = elapsed_day(layout)
     if scope == "global":
-        first = df.agg(F.min(day)).first()[0]
-        early = df.filter(day - F.lit(first) < n)
+        early = df.filter(day - df.agg(F.min(day)).scalar() < n)
     elif scope == "id":
         starts = df.groupBy(col(layout.id)).agg(
             F.min(day).alias("_first_day"), F.count(F.lit(1)).alias("_w")
