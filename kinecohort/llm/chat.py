@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinecohort.llm.common import pick
+from kinecohort.llm.common import held, pick
 from kinecohort.llm.tokens import BYTE_BPE
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,16 +65,15 @@ def intersect(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray
     return np.cumsum(mask)[:-1] > 0
 
 
-_tokenizers: dict[str, object] = {}
-
-
 def _tokenizer(path: str):
-    if path not in _tokenizers:
+    def build():
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].add_special_tokens([OPEN, TEXT, CLOSE])
-    return _tokenizers[path]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.add_special_tokens([OPEN, TEXT, CLOSE])
+        return tokenizer
+
+    return held(("chat", path), build)
 
 
 def format_conversations(conversations: DataFrame, role: str = "assistant", path: str = BYTE_BPE) -> DataFrame:

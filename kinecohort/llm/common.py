@@ -10,7 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together, at most (or one text).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a process keeps from task to task: one model at a time, so that stages do not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,7 +133,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word (starts in order): its bytes as digits in an odd base, then mixed.
+    """A 64-bit hash of each word (starts and ends in order): its bytes as digits in an odd base, then mixed.
 
     Differences of one running sum, shifted back by the word's place, so that no loop over words is needed; text by
     text of _HASHED bytes, so that memory does not depend on the length.
@@ -133,7 +143,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     while a < len(starts):
         first = starts[a]
         b = max(a + 1, int(np.searchsorted(starts, first + _HASHED)))
-        part = data[first : ends[b - 1] if b - a == 1 else max(ends[a:b])]
+        part = data[first : ends[b - 1]]
         if len(_POWERS[0]) <= len(part):
             _POWERS[:] = [_powers(_BASE, len(part)), _powers(_INVERSE, len(part))]
         up, down = _POWERS

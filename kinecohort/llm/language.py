@@ -13,10 +13,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinecohort.llm.common import keep_rows, learnable, pick, slices, utf8
+from kinecohort.llm.common import held, keep_rows, learnable, pick, slices, utf8
 
 #: Labelled text that an automaton is built from, for each language: bytes in all, characters of a row, and rows drawn.
-TRAIN_BYTES = 96 << 10
+TRAIN_BYTES = 64 << 10
 TRAIN_CHARS = 2048
 TRAIN_ROWS = 200
 #: More labelled languages than this are an error.
@@ -110,19 +110,16 @@ class Languages:
         return [name for name, _ in self.texts]
 
 
-_built: dict[str, tuple[np.ndarray, list[Automaton]]] = {}
-
-
 def automata(model: Languages) -> tuple[np.ndarray, list[Automaton]]:
     """The code of each byte, and an automaton for each language; built once in a process."""
-    key = hashlib.sha256(repr(model.texts).encode()).hexdigest()
-    if key not in _built:
+
+    def build() -> tuple[np.ndarray, list[Automaton]]:
         used = sorted({b for _, text in model.texts for b in text})
-        code = np.full(256, len(used), np.int64)  # bytes that no language has
+        code = np.full(256, len(used), np.uint16)  # bytes that no language has
         code[used] = range(len(used))
-        _built.clear()
-        _built[key] = code, [Automaton(text, code, len(used) + 1) for _, text in model.texts]
-    return _built[key]
+        return code, [Automaton(text, code, len(used) + 1) for _, text in model.texts]
+
+    return held(("language", hashlib.sha256(repr(model.texts).encode()).hexdigest()), build)
 
 
 def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -143,7 +140,7 @@ def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     for j in range(longest):
         m = active[j]
-        now = symbols[starts[:m] + j]
+        now = symbols[starts[:m] + j].astype(np.int64)
         for i, machine in enumerate(machines):
             step = machine.table[states[i, :m] + now]
             counts[i, :m] += step & 3
