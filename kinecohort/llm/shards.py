@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinecohort.llm.common import mixed, pick, slices
-from kinecohort.llm.tokens import BYTE_BPE, counter, encoder, whole_tokens
+from kinecohort.llm.common import held, mixed, pick, slices
 from kinecohort.sources.shared import fresh_path, materialize
 
 #: Tokens of a sequence, sequences of a shard, rounds of the permutation.
 SEQUENCE = 1024
 SHARD = 1 << 14
 ROUNDS = 6
+#: A vocabulary as a file of ranks, on every machine, and the pattern that it goes with.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The id that ends a document and fills the last sequence of a partition.
 END = 50256
 
 
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Token ids of a text, special strings as ordinary text."""
+
+    def build() -> tiktoken.Encoding:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        if max(ranks.values()) >= END:
+            raise ValueError(f"ids up to {END - 1} are known here, so that an id ends documents and all have 16 bits")
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held(("ranks", path), build).encode_ordinary
+
+
 def _round_keys(key: int) -> np.ndarray:
     return mixed(np.uint64(key) + np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -83,15 +100,14 @@ class Shards:
 def _counted(docs: DataFrame, path: str) -> DataFrame:
     """Token counts in the order in which tasks read the documents: pid, pos, doc_id, n (with the end), and a running
     checksum of the rows so far."""
-    whole = whole_tokens(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path, whole)
+        encode = encoder(path)
         pid, pos, check = TaskContext.get().partitionId(), 0, 0
         for batch in slices(batches):
             ns, checks = [], []
             for text in batch.column("text").to_pylist():
-                ns.append((count(text) if text else 0) + 1)
+                ns.append((len(encode(text)) if text else 0) + 1)
                 check = zlib.crc32((text or "").encode(), check)
                 checks.append(check)
             k = batch.num_rows
@@ -106,11 +122,10 @@ def _counted(docs: DataFrame, path: str) -> DataFrame:
 def _sequences(docs: DataFrame, path: str, length: int, before: dict[int, tuple[int, int, int]], n: int, key: int) -> DataFrame:
     """slot and record of every sequence. before: for each task its first sequence, and the rows and checksum it must
     meet again."""
-    whole = whole_tokens(path)
     width = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, whole)
+        encode = encoder(path)
         at, rows, expected = before.get(TaskContext.get().partitionId(), (0, 0, 0))
         check = 0
         end = END.to_bytes(2, "little")
@@ -128,7 +143,7 @@ def _sequences(docs: DataFrame, path: str, length: int, before: dict[int, tuple[
         for batch in slices(batches, limit=1 << 20):
             parts = [rest]
             for text in batch.column("text").to_pylist():
-                parts.append((encode(text) if text else b"") + end)
+                parts.append(np.array(encode(text) if text else [], "<u2").tobytes() + end)
                 check = zlib.crc32((text or "").encode(), check)
             rows -= batch.num_rows
             joined = b"".join(parts)
@@ -145,7 +160,7 @@ def _sequences(docs: DataFrame, path: str, length: int, before: dict[int, tuple[
 
 
 def write_shards(
-    docs: DataFrame, path: str = BYTE_BPE, length: int = SEQUENCE, per_shard: int = SHARD, key: int = 1
+    docs: DataFrame, path: str = RANKS, length: int = SEQUENCE, per_shard: int = SHARD, key: int = 1
 ) -> tuple[Shards, DataFrame]:
     """Write the token ids of docs (doc_id, text) in training order, and tell where each document went.
 
@@ -159,8 +174,8 @@ def write_shards(
 
     The index has a row for each part of a document within a sequence: doc_id, part (from 0), slot, shard, record, start
     (token in the sequence), n_tokens (the end token included). Null texts count as empty: one end token. Null ids
-    and repeated rows are kept; an empty table gives an empty index and no shards. Text that itself has the end token's
-    string is encoded as the library does by default, as that token.
+    and repeated rows are kept; an empty table gives an empty index and no shards. Text that itself has a special token's
+    string is encoded as ordinary text, so the end token ends documents only.
     """
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")

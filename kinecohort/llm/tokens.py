@@ -1,4 +1,4 @@
-"""Token counts with whole tokens looked up directly, and token ids."""
+"""Token counts with whole tokens looked up directly."""
 
 from __future__ import annotations
 
@@ -13,14 +13,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinecohort.llm.common import pick, slices
+from kinecohort.llm.common import held, pick, slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The vocabulary file, on every machine.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-#: Words and pre-tokens that a process remembers, each; beyond it, it starts again from the whole tokens.
-REMEMBERED = 1_000_000
+#: Pre-tokens that a process remembers; beyond it, it starts again from the whole tokens.
+REMEMBERED = 400_000
 #: Texts of other characters are split by the library; for these, the pattern gives the same pieces (see the tests).
 _OTHER = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧€]")
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
@@ -101,92 +101,20 @@ class Splitter:
         return self._parts.split(text) if self._parts else [text]
 
 
-_loaded: dict[str, Splitter] = {}
-
-
-def splitter(path: str) -> Splitter:
-    if path not in _loaded:
-        _loaded[path] = Splitter(path)
-    return _loaded[path]
-
-
-#: Stands for a word whose pieces hang on what is around it.
-_UNSURE = 1 << 40
-
-
-def _alone(word: str) -> bool:
-    """Whether a space and then this word begin a piece wherever they stand.
-
-    The pattern leaves the last blank of a run to what follows, unless that is a blank too.
-    """
-    return bool(word) and not word[0].isspace()
-
-
 class Counts:
-    """Numbers of tokens, by word between single spaces, and by piece."""
+    """Numbers of tokens, by piece."""
 
     def __init__(self, path: str, whole: dict[str, int]):
-        self.split = splitter(path)
+        self.split = Splitter(path)
         self.pieces = Pieces(dict.fromkeys(whole, 1), lambda piece: len(self.split.merged(piece)))
-        self.words = Pieces({}, lambda word: self.slow(" " + word) if _alone(word) else _UNSURE)
-
-    def slow(self, text: str) -> int:
-        return sum(map(self.pieces.__getitem__, self.split.pieces(text)))
-
-    def ordinary(self, text: str) -> int:
-        words = text.split(" ")
-        head = words[0]
-        total = sum(map(self.words.__getitem__, words)) - self.words[head]
-        return total + self.slow(head) if total < _UNSURE else self.slow(text)
 
     def __call__(self, text: str) -> int:
         parts = self.split.parts(text)
-        return len(parts) // 2 + sum(map(self.ordinary, parts[::2]))
-
-
-class Encoded:
-    """Token ids as bytes, by word between single spaces, and by piece."""
-
-    def __init__(self, path: str, whole: dict[str, int]):
-        self.split = splitter(path)
-        if self.split.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("token ids of 16 bits cannot hold this vocabulary")
-        self.pieces = Pieces({t: i.to_bytes(2, "little") for t, i in whole.items()}, self._merged)
-        self.words = Pieces({}, lambda word: self.slow(" " + word) if _alone(word) else None)
-
-    def _merged(self, piece: str) -> bytes:
-        return b"".join([t.id.to_bytes(2, "little") for t in self.split.merged(piece)])
-
-    def slow(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split.pieces(text)))
-
-    def ordinary(self, text: str) -> bytes:
-        head, *words = text.split(" ")
-        known = list(map(self.words.__getitem__, words))
-        return self.slow(text) if None in known else self.slow(head) + b"".join(known)
-
-    def __call__(self, text: str) -> bytes:
-        special = self.split.special
-        parts = self.split.parts(text)
-        return b"".join([special[p].to_bytes(2, "little") if k % 2 else self.ordinary(p) for k, p in enumerate(parts)])
-
-
-_counts: dict[str, Counts] = {}
-_encoded: dict[str, Encoded] = {}
+        return len(parts) // 2 + sum(sum(map(self.pieces.__getitem__, self.split.pieces(p))) for p in parts[::2])
 
 
 def counter(path: str, whole: dict[str, int]) -> Counts:
-    if path not in _counts:
-        _encoded.clear()
-        _counts[path] = Counts(path, whole)
-    return _counts[path]
-
-
-def encoder(path: str, whole: dict[str, int]) -> Encoded:
-    if path not in _encoded:
-        _counts.clear()
-        _encoded[path] = Encoded(path, whole)
-    return _encoded[path]
+    return held(("counts", path), lambda: Counts(path, whole))
 
 
 def count_tokens(docs: DataFrame, limit: int = 1024, path: str = BYTE_BPE) -> DataFrame:

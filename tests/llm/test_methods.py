@@ -41,14 +41,14 @@ def test_whole_tokens_encode_alone(library, whole):
     assert [e.ids for e in library.encode_batch(texts, add_special_tokens=False)] == [[whole[t]] for t in texts]
 
 
-def test_counts_and_ids_are_the_librarys(library, whole):
-    count, encode = tokens.Counts(tokens.BYTE_BPE, whole), tokens.Encoded(tokens.BYTE_BPE, whole)
+def test_counts_are_the_librarys(library, whole):
+    count = tokens.Counts(tokens.BYTE_BPE, whole)
     parts = [" ", "  ", "\n", "\t", "\r", "a", "b'", "'s", "é", "1", "²", "!", "?!", "<|endoftext|>", "\xa0", "　", "日本", "\x1c"]
     parts += ["\x85", "word", " the", "​", "😀", "Z", "İ", "'", "\xad", "ª"]
     draw = random.Random(3)
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(5000)]
     for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
-        assert count(text) == len(e.ids) and list(np.frombuffer(encode(text), "<u2")) == e.ids, repr(text)
+        assert count(text) == len(e.ids), repr(text)
 
 
 def test_the_pattern_splits_as_the_library(library):
@@ -63,7 +63,7 @@ def test_a_full_memory_starts_again(whole, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 5)
     count = tokens.Counts(tokens.BYTE_BPE, whole)
     text = " ".join(f"qzx{i}kv" for i in range(50))
-    assert count(text) == tokens.Counts(tokens.BYTE_BPE, whole)(text) == len(tokens.Encoded(tokens.BYTE_BPE, whole)(text)) // 2
+    assert count(text) == sum(count(f" qzx{i}kv") for i in range(1, 50)) + count("qzx0kv")
 
 
 # --- near duplicates --------------------------------------------------------------------
@@ -368,6 +368,7 @@ def test_documents_are_read_back_from_their_records(spark, tmp_path, library):
     texts = [" ".join(draw.choices(["the", "cat\n", "Ωμ", "x1", "\n\n"], k=draw.randint(0, 60))) for _ in range(80)]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(7, texts[7], "again"), (None, "no id", None), (90, None, None), (91, "a <|endoftext|> b", "")]
     made, index = shards.write_shards(shard_rows(spark, tmp_path, rows), length=16, per_shard=8)
+    library.encode_special_tokens = True  # their strings are ordinary text here
     records = {r.slot: np.frombuffer(bytes(r.ids), "<u2") for r in shards.read_records(spark, made).collect()}
     assert sorted(records) == list(range(made.sequences))
     parts = {}
@@ -377,6 +378,7 @@ def test_documents_are_read_back_from_their_records(spark, tmp_path, library):
     want = {}
     for i, t, _ in rows:
         want.setdefault(i, []).append(library.encode(t or "", add_special_tokens=False).ids + [shards.END])
+    library.encode_special_tokens = False
     for i, whole in want.items():
         got = sorted(parts[i], key=lambda p: p[0])
         assert len(whole) > 1 or sum((p for _, p in got), []) == whole[0]
