@@ -61,30 +61,37 @@ def signatures(words: np.ndarray, length: int) -> np.ndarray:
     this step says whether to go on to the next. After an edit, two walks fall into step again by chance, so few of
     the places put out differ. A sample takes PLACES of them, the same for all windows of the length.
     """
-    n, steps = len(words), 3 * length
+    n, width = len(words), words.shape[1] + 1
     padded = np.concatenate([words, np.zeros((n, 1), np.uint64)], axis=1)
+    draws = [np.random.default_rng([length, walk]) for walk in range(WALKS)]
+    # Walks lose each other for good at their ends, so places lie in the first two thirds.
+    chosen = [np.sort(draw.integers(0, 2 * length, (SAMPLES, PLACES)), axis=1) for draw in draws]
+    salts = np.array([draw.integers(1, 1 << 62) * 2 + 1 for draw in draws], np.uint64)[:, None, None]
+    wanted: dict[int, list[int]] = {}
+    for walk in range(WALKS):
+        for step in np.unique(chosen[walk]).tolist():
+            wanted.setdefault(step, []).append(walk)
+    # All walks at once: 64 random bits for each word; a step takes one, and they are drawn anew after 64.
+    coins = mixed(padded[None] * salts)
+    rows = np.arange(n) * width
+    first = rows[None] + np.arange(WALKS)[:, None] * (n * width)
+    place = np.zeros((WALKS, n), np.int64)
+    flat = padded.ravel()
+    put: dict[tuple[int, int], np.ndarray] = {}
+    for step in range(max(wanted) + 1):
+        if step and step % 64 == 0:
+            coins = mixed(coins * salts)
+        for walk in wanted.get(step, ()):
+            put[walk, step] = flat[rows + place[walk]]
+        go = (coins.ravel()[first + place] >> np.uint64(step % 64)) & np.uint64(1)
+        place += go.view(np.int64)
+        np.minimum(place, width - 1, out=place)
     keys = np.empty((n, WALKS * SAMPLES), np.uint64)
-    rows = np.arange(n)
     for walk in range(WALKS):
-        draw = np.random.default_rng([length, walk])
-        # Walks lose each other for good at their ends, so places lie in the first two thirds.
-        chosen = np.sort(draw.integers(0, 2 * length, (SAMPLES, PLACES)), axis=1)
-        wanted = np.unique(chosen)
-        salt = np.uint64(draw.integers(1, 1 << 62) * 2 + 1)
-        coins = mixed(padded * salt)  # 64 bits for each word; a step takes one, and they are drawn anew after 64
-        place = np.zeros(n, np.int64)
-        put: dict[int, np.ndarray] = {}
-        for step in range(min(steps, int(wanted[-1]) + 1)):
-            if step and step % 64 == 0:
-                coins = mixed(coins * salt)
-            if step in wanted:
-                put[step] = padded[rows, place]
-            go = (coins[rows, place] >> np.uint64(step % 64)) & np.uint64(1)
-            place = np.minimum(place + go.astype(np.int64), words.shape[1])
         for s in range(SAMPLES):
-            key = np.full(n, np.uint64(walk * SAMPLES + s + 1), np.uint64)
-            for step in chosen[s]:
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + put[int(step)])
+            key = np.full(n, walk * SAMPLES + s + 1, np.uint64)
+            for step in chosen[walk][s].tolist():
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + put[walk, step])
             keys[:, walk * SAMPLES + s] = key
     return keys
 
@@ -181,26 +188,37 @@ def windows(items: Items, hashes: np.ndarray, texts: np.ndarray) -> tuple[np.nda
 
 def matches(items: Items, hashes: np.ndarray, texts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Text, item, distance, first word and words of the nearest window (the first of equals) of each pair that has one
-    within the edits allowed."""
+    within the edits allowed.
+
+    Windows that share more keys with the item come first. Equal ones share all, so after one of those the others need no
+    comparison.
+    """
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     text, start, size = windows(items, hashes, texts)
     for length in np.unique(size).tolist():
         own = np.flatnonzero(size == length)
         keys, holders = items.buckets[length]
-        for a in range(0, len(own), 4096):
-            rows = own[a : a + 4096]
+        for a in range(0, len(own), 2048):
+            rows = own[a : a + 2048]
             first = texts[text[rows]] + start[rows]
             grid = first[:, None] + np.arange(length)
             inside = grid < texts[text[rows] + 1][:, None]
             filled = np.where(inside, np.append(hashes, np.uint64(0))[np.where(inside, grid, len(hashes))], np.uint64(0))
             own_keys = signatures(filled, length)
             at, who = _spread(np.searchsorted(keys, own_keys.ravel(), "left"), np.searchsorted(keys, own_keys.ravel(), "right"))
-            pairs = np.unique(np.stack([who // own_keys.shape[1], holders[at]], axis=1), axis=0) if len(at) else []
-            for w, i in pairs:
-                words = filled[w][inside[w]].tolist()
-                d = distance(items.words[i].tolist(), words)
+            if not len(at):
+                continue
+            pairs, shared = np.unique(np.stack([who // own_keys.shape[1], holders[at]], axis=1), axis=0, return_counts=True)
+            for (w, i), k in sorted(zip(pairs.tolist(), shared.tolist()), key=lambda x: -x[1]):
+                pair = int(text[rows[w]]), i
+                if k < own_keys.shape[1] and best.get(pair, (1,))[0] == 0:
+                    continue
+                words, item = filled[w][inside[w]].tolist(), items.words[i].tolist()
+                if len(item) - sum(map(set(words).__contains__, item)) > items.most[i]:
+                    continue  # each word that the window lacks is an edit
+                d = distance(item, words)
                 if d <= items.most[i]:
-                    pair, new = (int(text[rows[w]]), int(i)), (d, int(start[rows[w]]), len(words))
+                    new = d, int(start[rows[w]]), len(words)
                     best[pair] = min(best.get(pair, new), new)
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
@@ -210,7 +228,7 @@ def _search(docs: DataFrame, items: Items, item_kind: DataType) -> DataFrame:
     names = ["doc_id", "item_id", "distance", "item_words", "first_word", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
             data = _LOWER[data]
             starts, ends, texts = word_places(data, offsets, _WORD)
