@@ -129,17 +129,24 @@ def _two_wildcards(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a < b) between distinct fingerprints that join exactly those that links of up to two bits join.
 
-    fps has each fingerprint once. All that share a key are counted with their least and greatest; a bucket of two is
-    its own candidate. Buckets of three to BUCKET members are compared within, and a spanning forest of their links is
-    kept. Members of larger ones are indexed by all pairs of wildcards instead: what shares such a key, four
+    fps has each fingerprint once. All that share a key are counted with their least and greatest and what their bits
+    come to by exclusive or, which is all that buckets of two and three members need. Buckets of up to BUCKET members are
+    compared within, and a spanning forest of their links is kept. Members of larger ones are indexed by all pairs of wildcards instead: what shares such a key, four
     at most, is linked, whatever the group's size. So no pairs within a group are ever written out.
     """
     keyed = _variants(fps)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    shared = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")
+    )
     shared = materialize(shared.filter("n > 1"), "buckets")
     near = F.expr(f"bit_count(a ^ b) <= {DISTANCE}")
-    twos = shared.filter("n = 2").filter(near).select("a", "b")
-    more = shared.filter("n > 2").select("key", "n")
+    third = F.expr("a ^ b ^ x")
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    one, ends = pair(F.col("a"), F.col("b")), [pair(F.col("a"), third), pair(third, F.col("b"))]
+    pairs = F.when(F.col("n") == 2, F.array(one)).otherwise(F.array(one, *ends))
+    few = shared.filter("n <= 3").select(F.inline(pairs).alias("a", "b")).filter(near)
+    # Written, so that its own size decides how it is joined: a short list spares a shuffle of all keys.
+    more = materialize(shared.filter("n > 3").select("key", "n"), "larger-buckets")
     members = keyed.join(more, "key")
     small = members.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("members"))
     large = members.filter(F.col("n") > BUCKET).select("fp").distinct()
@@ -150,7 +157,7 @@ def links(fps: DataFrame) -> DataFrame:
         .filter(F.size("members") > 1)
     )
     stars = exact.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a < b")
-    return twos.union(_bucket_links(small)).union(stars).distinct()
+    return few.union(_bucket_links(small)).union(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
