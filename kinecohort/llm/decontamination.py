@@ -23,6 +23,9 @@ SIMILARITY = 0.8
 WALKS = 16
 SAMPLES = 6
 PLACES = 2
+#: Words of an item that is looked for by keys, at most. Walks drift apart as edits add up, so for longer items the
+#: windows that have their anchors are compared without keys, and none is lost.
+EMBEDDED = 120
 #: Items that are looked for in one pass over the documents.
 BLOCK_ITEMS = 20_000
 
@@ -148,6 +151,8 @@ def prepare(ids: list, texts: list[bytes], similarity: float = SIMILARITY) -> It
     items.needed, items.most = np.array(needed), np.array(most)
     items.sizes = np.array([len(w) for w in items.words])
     for size, own in by_size.items():
+        if size > EMBEDDED:
+            continue
         keys = signatures(np.stack([items.words[i] for i in own]), size)
         bands = np.repeat(np.array(own), keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
@@ -162,8 +167,9 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n), who
 
 
-def windows(items: Items, hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word and size of each window that has the anchors of some item of its size."""
+def windows(items: Items, hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and size of each window that has the anchors of some item of its size, in order; and that item, if
+    it is too long for keys (else -1, once for all items)."""
     low = np.searchsorted(items.anchor_words, hashes, side="left")
     high = np.searchsorted(items.anchor_words, hashes, side="right")
     anchor, word = _spread(low, high)
@@ -182,8 +188,28 @@ def windows(items: Items, hashes: np.ndarray, texts: np.ndarray) -> tuple[np.nda
     # A text shorter than the item is one window; else windows lie within it.
     last = np.maximum(0, np.diff(texts)[text] - size)
     start, who = _spread(np.clip(far - k, 0, last), np.clip(near + k, 0, last) + 1)
-    found = np.unique(np.stack([text[who], start, size[who]], axis=1), axis=0)
-    return found[:, 0], found[:, 1], found[:, 2]
+    long = np.where(size > EMBEDDED, item, -1)
+    found = np.unique(np.stack([text[who], long[who], start, size[who]], axis=1), axis=0)
+    return found[:, 0], found[:, 2], found[:, 3], found[:, 1]
+
+
+def _nearest(item: list[int], words: list[int], starts: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """Distance, first word and words of the nearest window at one of the starts (the first of equals), within `most` edits.
+
+    A window one word on is nearer by two edits at most, so windows that this rules out are passed over.
+    """
+    best, i = None, 0
+    while i < len(starts):
+        start = int(starts[i])
+        window = words[start : start + len(item)]
+        d = distance(item, window)
+        bar = best[0] - 1 if best else most
+        if d <= bar:
+            best, bar = (d, start, len(window)), d - 1
+        if bar < 0:
+            break
+        i = int(np.searchsorted(starts, start + max(1, -(-(d - bar) // 2))))
+    return best
 
 
 def matches(items: Items, hashes: np.ndarray, texts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -191,12 +217,20 @@ def matches(items: Items, hashes: np.ndarray, texts: np.ndarray) -> list[tuple[i
     within the edits allowed.
 
     Windows that share more keys with the item come first. Equal ones share all, so after one of those the others need no
-    comparison.
+    comparison. Items too long for keys are compared with all windows that have their anchors.
     """
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    text, start, size = windows(items, hashes, texts)
-    for length in np.unique(size).tolist():
-        own = np.flatnonzero(size == length)
+    text, start, size, long = windows(items, hashes, texts)
+    alone = np.flatnonzero(long >= 0)
+    cuts = np.flatnonzero((np.diff(text[alone]) != 0) | (np.diff(long[alone]) != 0)) + 1
+    for rows in np.split(alone, cuts) if len(alone) else ():
+        t, i = int(text[rows[0]]), int(long[rows[0]])
+        words = hashes[texts[t] : texts[t + 1]].tolist()
+        found = _nearest(items.words[i].tolist(), words, start[rows], int(items.most[i]))
+        if found:
+            best[t, i] = found
+    for length in np.unique(size[long < 0]).tolist():
+        own = np.flatnonzero((size == length) & (long < 0))
         keys, holders = items.buckets[length]
         for a in range(0, len(own), 2048):
             rows = own[a : a + 2048]
