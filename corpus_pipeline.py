@@ -12,8 +12,8 @@ from kinecohort.llm.common import table
 from kinecohort.llm.decontamination import decontaminate
 from kinecohort.llm.language import fit_languages, keep_known
 from kinecohort.llm.mixing import mixed_rows
-from kinecohort.llm.overlap import keep_dissimilar
 from kinecohort.llm.shards import write_shards
+from kinecohort.llm.simhash import keep_one
 from kinecohort.sources.shared import materialize
 
 
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
-    return keep_dissimilar(docs)
+    """One document of each group whose fingerprints of 3-word shingles are linked by up to two differing bits."""
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
