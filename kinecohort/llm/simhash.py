@@ -62,7 +62,7 @@ def fingerprint(texts: list[bytes | None], n: int = 3, seed: int = 42) -> np.nda
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every whole text.
+    """doc_id, content (a hash of the text) and fp (the fingerprint as a signed long) of every whole text.
 
     A-Z count as a-z; words are parted by ASCII white space. Fewer words than a shingle has are one shingle; a text
     without words, or null, has fingerprint 0. Null ids and repeated rows are kept as they are.
@@ -70,11 +70,13 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fingerprint(texts, n).view(np.int64))], ["doc_id", "fp"])
+            fps = fingerprint(batch.column("text").cast(pa.binary()).to_pylist(), n)
+            columns = [batch.column("doc_id"), batch.column("content"), pa.array(fps.view(np.int64))]
+            yield pa.record_batch(columns, ["doc_id", "content", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    named = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("content"), "text")
+    return named.mapInArrow(run, f"doc_id {kind}, content long, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -188,6 +190,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(state)
 
 
+def _roots(marked: DataFrame) -> DataFrame:
+    """of (a fingerprint) and root (that of its group) of every fingerprint of marked."""
+    fps = materialize(marked.select("fp").distinct(), "distinct")
+    linked = components(links(fps))
+    return fps.join(linked, fps["fp"] == linked["node"], "left").select(F.col("fp").alias("of"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     """doc_id, fp and component_id of every row of docs.
 
@@ -197,19 +206,30 @@ def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     table gives an empty one.
     """
     marked = materialize(fingerprints(docs, n), "fingerprints")
-    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("own")), "distinct")
-    linked = components(links(fps))
-    grouped = fps.join(linked, fps["fp"] == linked["node"], "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    own = marked.groupBy("fp").agg(F.min("doc_id").alias("own"))
+    roots = _roots(marked)
+    grouped = own.join(roots, own["fp"] == roots["of"]).select("of", "own", "root")
     least = grouped.groupBy("root").agg(F.min("own").alias("component_id"))
-    named = grouped.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    named = grouped.join(least, "root").select("of", "component_id")
     return marked.join(named, marked["fp"] == named["of"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 3) -> DataFrame:
-    """Rows of docs, one for each component: that of the least doc_id (of repeated rows, one).
+    """Rows of docs, one for each component: that of the least doc_id (of rows with the same one, of the least hash of
+    the text; of repeated rows, one).
 
-    Documents without an id cannot be told apart and are kept.
+    Rows are told apart by id and text, so an id that has several texts loses only those that are near copies of
+    others. Documents without an id cannot be told apart: they are kept, and stand for no others.
     """
-    kept = near_duplicates(docs, n).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter(docs["doc_id"].isNull()))
+    marked = materialize(fingerprints(docs, n).filter("doc_id IS NOT NULL"), "fingerprints")
+    roots = _roots(marked)
+    own = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "content")).alias("own"))
+    least = own.join(roots, own["fp"] == roots["of"]).groupBy("root").agg(F.min("own").alias("kept"))
+    kept = materialize(least.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.content").alias("_kept_content")), "kept")
+    at = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own_id, text = F.col(names[at["doc_id"]]), F.col(names[at["text"]])
+    same = (own_id == F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_content"))
+    chosen = plain.join(kept, same, "left_semi").dropDuplicates([names[at["doc_id"]], names[at["text"]]])
+    return chosen.unionByName(plain.filter(own_id.isNull())).toDF(*docs.columns)
