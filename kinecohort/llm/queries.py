@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinecohort.llm.common import held_out, learnable, pick, table
-from kinecohort.llm import chat, licenses, mixing, quality, toxicity
+from kinecohort.llm import chat, licenses, merkle, mixing, quality, toxicity
 from kinecohort.llm.decontamination import contamination
 from kinecohort.llm.language import fit_languages, identify, teachable
 from kinecohort.llm.shards import read_records, write_shards
 from kinecohort.llm.simhash import near_duplicates
 from kinecohort.llm.tokens import count_tokens
+from kinecohort.llm.whitening import whiten
 from kinecohort.sources.shared import materialize
 
 
@@ -89,6 +90,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest's tree, its proof, and whether what is presented of it verifies."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding, fitted on the distinct ones."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,6 +113,8 @@ QUERIES = {
         op8_language,
         op9_token_counts,
         op10_mixing,
+        op11_merkle,
+        op12_whitening,
     )
 }
-ORACLES: dict[str, str] = {"op3_licenses": licenses.SQL, "op4_quality": quality.SQL, "op10_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.SQL, "op4_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL}
