@@ -9,6 +9,7 @@ from kinecohort.llm.common import held_out, learnable, pick, table
 from kinecohort.llm import chat, licenses, merkle, mixing, quality, toxicity
 from kinecohort.llm.decontamination import contamination
 from kinecohort.llm.language import fit_languages, identify, teachable
+from kinecohort.llm.repeats import remove_repeats
 from kinecohort.llm.shards import read_records, write_shards
 from kinecohort.llm.simhash import near_duplicates
 from kinecohort.llm.tokens import count_tokens
@@ -100,6 +101,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without what starts earlier too."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +122,7 @@ QUERIES = {
         op10_mixing,
         op11_merkle,
         op12_whitening,
+        op13_repeats,
     )
 }
 ORACLES: dict[str, str] = {"op3_licenses": licenses.SQL, "op4_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL}
