@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from checks.cleaning_queries import CLEANED_SQL
 from checks.data import LAYOUT, series, subjects, table
 from checks.registry import over_both, query, tidy, tidy_sql
 from kinecohort.functions.columns import col, threshold_label
+from kinecohort.operators.boosting import BoostedRegressor, settings_of
 from kinecohort.operators import autoencoder as A
 from kinecohort.operators import ensemble as E
 from kinecohort.operators import scaling
@@ -421,3 +423,102 @@ def batch_score_query(spark, sf_dir):
     path = fresh_path(spark, "labels")
     write_predictions(labels, path)
     return spark.read.parquet(path)
+
+
+# --- regularised boosting --------------------------------------------------------------------------
+
+# Columns of few values, so that every value ends a bin and SQL can try all cuts. A seventh of one is missing.
+_BOOST_FEATURES = ["quantity", "discount", "tax"]
+_BOOST_SQL = """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS quantity,
+  l_discount AS discount, l_tax AS tax, l_extendedprice / 1000 AS y FROM lineitem"""
+_STUMP = {"n_estimators": 1, "num_leaves": 2, "learning_rate": 0.5, "min_data_in_leaf": 50, "lambda_l1": 40.0, "lambda_l2": 25.0}
+
+
+def _boost_rows(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity").cast("double")).alias("quantity"),
+        F.col("l_discount").cast("double").alias("discount"),
+        F.col("l_tax").cast("double").alias("tax"),
+        (F.col("l_extendedprice").cast("double") / 1000).alias("y"),
+    )
+    nan = F.lit(float("nan"))
+    vector = array_to_vector(F.array(*[F.coalesce(F.col(c), nan) for c in _BOOST_FEATURES]))
+    return rows.select("id", "y", *_BOOST_FEATURES, vector.alias("features"))
+
+
+def _stump_sql() -> str:
+    """The split of the greatest gain, and what its sides add, by trying every value of every column and both sides for null."""
+    each = " UNION ALL ".join(f"SELECT id, y, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM r" for c in _BOOST_FEATURES)
+    soft = lambda g: f"greatest(abs({g}) - 40.0, 0)"
+    part = lambda g, n: f"{soft(g)} * {soft(g)} / ({n} + 25.0)"
+    return f"""WITH r AS ({_BOOST_SQL}), m AS (SELECT avg(CAST(y AS DOUBLE)) AS start FROM r),
+    e AS (SELECT feature, x, start - y AS g FROM ({each}), m),
+    v AS (SELECT feature, x, sum(g) AS g, count(*) AS n FROM e WHERE x IS NOT NULL GROUP BY 1, 2),
+    c AS (SELECT feature, x, sum(g) OVER w AS gl, sum(n) OVER w AS nl FROM v WINDOW w AS (PARTITION BY feature ORDER BY x)),
+    t AS (SELECT feature, sum(g) AS gt, count(*) AS nt, coalesce(sum(g) FILTER (WHERE x IS NULL), 0) AS gm,
+      count(*) FILTER (WHERE x IS NULL) AS nm FROM e GROUP BY 1),
+    s AS (SELECT feature, x, missing_left, gt, nt, gl + CASE WHEN missing_left THEN gm ELSE 0 END AS gl,
+      nl + CASE WHEN missing_left THEN nm ELSE 0 END AS nl FROM c JOIN t USING (feature), (VALUES (false), (true)) q(missing_left)),
+    b AS (SELECT *, {part("gl", "nl")} + {part("(gt - gl)", "(nt - nl)")} - {part("gt", "nt")} AS gain FROM s
+      WHERE nl >= 50 AND nt - nl >= 50 ORDER BY gain DESC, feature DESC, x, missing_left LIMIT 1)
+    """
+
+
+_LEAF = "-0.5 * sign({0}) * greatest(abs({0}) - 40.0, 0) / ({1} + 25.0)"
+
+
+@query(
+    "boosted_first_split",
+    tidy_sql(
+        f"""{_stump_sql()} SELECT feature, x AS threshold, missing_left, gain, CAST(nl AS BIGINT) AS left_rows,
+        CAST(nt - nl AS BIGINT) AS right_rows, {_LEAF.format("gl", "nl")} AS left_value,
+        {_LEAF.format("(gt - gl)", "(nt - nl)")} AS right_value FROM b""",
+        ["threshold", "gain", "left_value", "right_value"],
+        4,
+    ),
+)
+def boosted_first_split(spark, sf_dir):
+    """The first split of a regularised tree: where, which side missing values take, its gain, and what both leaves add."""
+    model = BoostedRegressor(settings_of("LGBMRegressor", _STUMP), key="id").fit(_boost_rows(spark, sf_dir))
+    tree = model.trees[0]
+    f, left = tree.feature[0], tree.left[0]
+    row = (
+        _BOOST_FEATURES[f], model.edges[f][tree.bin[0]], tree.missing_left[0], tree.gain[0],
+        tree.rows[left], tree.rows[left + 1], tree.value[left], tree.value[left + 1],
+    )
+    schema = "feature string, threshold double, missing_left boolean, gain double, left_rows long, right_rows long, left_value double, right_value double"
+    return tidy(spark.createDataFrame([row], schema), 4)
+
+
+@query(
+    "boosted_scores",
+    tidy_sql(
+        f"""{_stump_sql()} SELECT id, start + CASE WHEN CASE b.feature WHEN 'quantity' THEN coalesce(quantity <= x, missing_left)
+          WHEN 'discount' THEN coalesce(discount <= x, missing_left) ELSE coalesce(tax <= x, missing_left) END
+          THEN {_LEAF.format("gl", "nl")} ELSE {_LEAF.format("(gt - gl)", "(nt - nl)")} END AS raw FROM r, m, b""",
+        ["raw"],
+        4,
+    ),
+)
+def boosted_scores(spark, sf_dir):
+    """Every row scored by a regularised tree of one split."""
+    rows = _boost_rows(spark, sf_dir)
+    model = BoostedRegressor(settings_of("LGBMRegressor", _STUMP), predictionCol="raw", key="id").fit(rows)
+    return tidy(model.transform(rows).select("id", "raw"), 4)
+
+
+@query("boosted_libraries")
+def boosted_libraries(spark, sf_dir):
+    """Members of the three libraries with all their penalties, scored side by side (tests compare each with a search over all rows)."""
+    rows = _boost_rows(spark, sf_dir)
+    given = {"learning_rate": 0.3, "reg_alpha": 2.0, "reg_lambda": 3.0, "subsample": 0.8, "random_state": 1}
+    more = {
+        "LGBMRegressor": {"n_estimators": 6, "num_leaves": 15, "bagging_freq": 2},
+        "XGBRegressor": {"n_estimators": 6, "max_depth": 4},
+        "CatBoostRegressor": {"iterations": 6, "depth": 4},
+    }
+    for name, own in more.items():
+        fitted = BoostedRegressor(settings_of(name, {**given, **own}), predictionCol=name, key="id").fit(rows)
+        rows = fitted.transform(rows)
+    return rows.select("id", "y", *more)
