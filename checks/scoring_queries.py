@@ -9,11 +9,13 @@ from checks.cleaning_queries import CLEANED_SQL
 from checks.data import LAYOUT, series, subjects, table
 from checks.registry import over_both, query, tidy, tidy_sql
 from kinecohort.functions.columns import col, threshold_label
+from kinecohort.operators import tuning
 from kinecohort.operators.boosting import BoostedRegressor, settings_of
 from kinecohort.operators import autoencoder as A
 from kinecohort.operators import ensemble as E
 from kinecohort.operators import scaling
 from kinecohort.operators import scoring as M
+from kinecohort.operators.linear import linear_out_of_fold
 from kinecohort.operators.series import series_basic_stats
 from kinecohort.plans import presets as P
 from kinecohort.plans.models import load_models, save_models
@@ -522,3 +524,55 @@ def boosted_libraries(spark, sf_dir):
         fitted = BoostedRegressor(settings_of(name, {**given, **own}), predictionCol=name, key="id").fit(rows)
         rows = fitted.transform(rows)
     return rows.select("id", "y", *more)
+
+
+# --- exact cut points, fits of all folds from one scan ------------------------------------------------
+
+# Scores to a twentieth, so that SQL can try all triples of them.
+_EXACT_SQL = f"""WITH r AS (SELECT y, ROUND(p1 * 20) AS s FROM ({SCORED_SQL})),
+c AS (SELECT s, count(*) FILTER (WHERE y = 0) AS a0, count(*) FILTER (WHERE y = 1) AS a1, count(*) FILTER (WHERE y = 2) AS a2,
+  count(*) FILTER (WHERE y = 3) AS a3 FROM r GROUP BY s),
+u AS (SELECT s, {", ".join(f"coalesce(sum(a{v}) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c{v}" for v in range(4))} FROM c
+  UNION ALL SELECT 'infinity'::DOUBLE, sum(a0), sum(a1), sum(a2), sum(a3) FROM c),
+t AS (SELECT count(*) AS n, sum(y) AS ys, sum(y * y) AS yy FROM r),
+k AS (SELECT {", ".join(f"i.c{v} AS i{v}, j.c{v} - i.c{v} AS j{v}, k.c{v} - j.c{v} AS k{v}, w.c{v} - k.c{v} AS l{v}" for v in range(4))}
+  FROM u i JOIN u j ON i.s <= j.s JOIN u k ON j.s <= k.s CROSS JOIN (SELECT * FROM u WHERE isinf(s)) w),
+o AS (SELECT i1 + 4 * i2 + 9 * i3 + j0 + j2 + 4 * j3 + 4 * k0 + k1 + k3 + 9 * l0 + 4 * l1 + l2 AS apart,
+  j0 + j1 + j2 + j3 AS one, k0 + k1 + k2 + k3 AS two, l0 + l1 + l2 + l3 AS three FROM k)
+SELECT max(1 - apart::DOUBLE / nullif(yy + one + 4 * two + 9 * three - 2 * ys::DOUBLE * (one + 2 * two + 3 * three) / n, 0)) AS kappa FROM o, t"""
+
+
+@query("exact_thresholds", tidy_sql(_EXACT_SQL, ["kappa"], 9))
+def exact_thresholds(spark, sf_dir):
+    """The greatest kappa that any cut points reach."""
+    rows = scored(spark, sf_dir).select("y", F.round(F.col("p1") * 20).alias("s"))
+    return tidy(spark.createDataFrame([(tuning.exact_thresholds(rows, "y", "s").kappa,)], "kappa double"), 9)
+
+
+@query("exact_thresholds_all_scores")
+def exact_thresholds_all_scores(spark, sf_dir):
+    """The same over scores as they are (tests compare with every split of small tables)."""
+    found = tuning.exact_thresholds(scored(spark, sf_dir), "y", "p1")
+    return spark.createDataFrame([(found.kappa, *found.values)], "kappa double, t0 double, t1 double, t2 double")
+
+
+@query("linear_out_of_fold", tidy_sql(_CV_SQL, ["raw"], 5))
+def linear_out_of_fold_query(spark, sf_dir):
+    """Out-of-fold scores of a linear model, all fits from one scan."""
+    return tidy(linear_out_of_fold(folded(spark, sf_dir), ["p1", "p2"], P.SCORE_CUTS)[0], 5)
+
+
+@query(
+    "linear_fold_weights",
+    tidy_sql(
+        f"""WITH d AS ({FOLDED_SQL}) SELECT k AS fold, b1, b2, b0 FROM
+        ({_ols_sql("SELECT f.k, d.* FROM d JOIN (SELECT i AS k FROM range(5) r(i)) f ON d.fold <> f.k", "k")})""",
+        ["b0", "b1", "b2"],
+        5,
+    ),
+)
+def linear_fold_weights(spark, sf_dir):
+    """Weights of the fit that left out each fold."""
+    _, fits, _ = linear_out_of_fold(folded(spark, sf_dir), ["p1", "p2"], P.SCORE_CUTS)
+    rows = [(k, *f.coefficients, f.intercept) for k, f in fits.items()]
+    return tidy(spark.createDataFrame(rows, "fold long, b1 double, b2 double, b0 double"), 5)

@@ -22,6 +22,7 @@ from kinecohort.operators.ensemble import (
     stack_linear,
     stack_predictions,
 )
+from kinecohort.operators.linear import linear_out_of_fold
 from kinecohort.operators.scoring import (
     FOLDS,
     accuracy,
@@ -127,17 +128,11 @@ def train_level2(
     """Cross-validate and fit a linear model on level-1 predictions; keeps the cut points."""
     data = stacked.select(col(id), col(target).cast("int").alias("y"), *[col(n) for n in names])
     _require_label_scale(data, len(init_cuts) + 1)
-    folded = stratified_folds(data, "y", [id])
-
-    def fit(train: DataFrame):
-        model = stack_linear(train, names)
-        return lambda rows: rows.withColumn("raw", linear_prediction(model, names))
-
-    cv = cv_out_of_fold(folded, fit, init_cuts, FOLDS)
-    cuts = refine_thresholds(cv.oof, "y", "raw", init_cuts, *SCORE_RANGE)
-    return Level2(
-        tuple(names), stack_linear(folded, names), tuple(cuts), cv.oof, evaluate(cv.oof, cuts, init_cuts)
-    )
+    folded = stratified_folds(data, "y", [id]).withColumnRenamed(id, "id")
+    # The folds' moments give all fits, so rows are not read again for each fold.
+    oof, _, _ = linear_out_of_fold(folded, names, init_cuts)
+    cuts = refine_thresholds(oof, "y", "raw", init_cuts, *SCORE_RANGE)
+    return Level2(tuple(names), stack_linear(folded, names), tuple(cuts), oof, evaluate(oof, cuts, init_cuts))
 
 
 @dataclass(frozen=True)
