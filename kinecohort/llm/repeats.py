@@ -28,29 +28,32 @@ GRAM = 37
 SPAN = LENGTH - GRAM + 1
 #: Suffixes of one window that one task scans together; windows with more are parted by longer prefixes.
 BUCKET = 50_000
-#: Windows that are looked at together.
-_WINDOWS = 1 << 19
+#: Windows that are looked at together: few enough for a place in 16 bits, and for a processor's cache.
+_WINDOWS = 1 << 15
+_PLACE = np.uint64(0xFFFF)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows of one anchor, in order: text, lo and hi (first and last window), a (the anchor), gram.
 
-    The anchor of a window is its first gram of the least hash. Places count from the start of data.
+    The anchor of a window is its first gram whose hash has the least upper 48 bits. Places count from the start of data.
     """
     ends = offsets[1:]
     parts = []
     for b in range(0, max(0, len(data) - LENGTH + 1), _WINDOWS):
         n = min(_WINDOWS, len(data) - LENGTH + 1 - b)
         at = np.arange(b, b + n + SPAN - 1)
-        value = word_hashes(data, at, at + GRAM)
-        place = at
+        hashes = word_hashes(data, at, at + GRAM)
+        # The place in the low bits: one minimum finds the least hash and the first gram that has it.
+        least = (hashes & ~_PLACE) | np.arange(len(at), dtype=np.uint64)
         width = 1
         while width < SPAN:
             step = min(width, SPAN - width)
-            later = value[step:] < value[:-step]
-            place = np.where(later, place[step:], place[:-step])
-            value = np.where(later, value[step:], value[:-step])
+            least = np.minimum(least[:-step], least[step:])
             width += step
+        place = (least & _PLACE).astype(np.int64)
+        value = hashes[place]
+        place += b
         p = np.arange(b, b + n)
         text = np.searchsorted(ends, p, side="right")
         inside = p + LENGTH <= ends[text]
@@ -236,33 +239,52 @@ def _masks(pieces: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, mask long").groupBy("gram").agg(F.bit_or("mask").alias("mask"))
 
 
-def _suffixes(pieces: DataFrame, masks: DataFrame) -> DataFrame:
+def _cuts(lo: int, hi: int, a: int, mask: int) -> list[int]:
+    """lo, and the windows up to hi that are as far before the anchor as a bit of the mask says, in order."""
+    cuts = [lo]
+    left = ((mask & _ALL) >> (a - hi)) & ((1 << (hi - lo)) - 1)
+    while left:
+        bit = left.bit_length() - 1
+        cuts.append(hi - bit)
+        left ^= 1 << bit
+    return cuts
+
+
+_ALL = (1 << 64) - 1
+
+
+def _suffixes(pieces: DataFrame, masks: DataFrame, texts: bool = True) -> DataFrame:
     """Suffixes to sort: bucket (digest of the window), whole (of window and tail), tail, left (the byte before; of a text's
-    start a number of its own), d, p, size (of window and tail).
+    start a number of its own), d, p, size (of window and tail). Without texts: whole, d, p and size only.
 
     Cuts are the first window of every diverse anchor's run, and those at the anchor's parting places. A tail goes on to the
     end of the next cut's window, where that suffix takes over: whatever two places share there, they share both
     cuts. So the bytes that are sorted are few however many repeats lie within each other.
     """
-    names = ["bucket", "whole", "tail", "left", "d", "p", "size"]
-    types = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    given = ("d", "base", "lo", "hi", "a", "bytes", "mask")
+    names = ["d", "p", "size", "whole"] + ["bucket", "tail", "left"] * texts
+    types = [pa.int64()] * 3 + [pa.binary()] + [pa.binary(), pa.binary(), pa.int64()] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for d, base, lo, hi, a, text, mask in zip(*[batch.column(c).to_pylist() for c in ("d", "base", "lo", "hi", "a", "bytes", "mask")]):
-                cuts = [lo] + [p for p in range(lo + 1, hi + 1) if mask >> (a - p) & 1]
+            ds, ps, sizes, wholes, *more = out
+            for d, base, lo, hi, a, text, mask in zip(*[batch.column(c).to_pylist() for c in given]):
+                cuts = _cuts(lo, hi, a, mask)
                 for p, q in zip(cuts, [*[x + LENGTH for x in cuts[1:]], len(text)]):
-                    left = text[p - 1] if p else 256 + d  # base is before lo, but at a text's start
-                    row = digest(text[p : p + LENGTH]), digest(text[p:q]), text[p + LENGTH : q], left, d, base + p, q - p
-                    for values, v in zip(out, row):
-                        values.append(v)
+                    ds.append(d)
+                    ps.append(base + p)
+                    sizes.append(q - p)
+                    wholes.append(digest(text[p:q]))
+                    if texts:
+                        more[0].append(digest(text[p : p + LENGTH]))
+                        more[1].append(text[p + LENGTH : q])
+                        more[2].append(text[p - 1] if p else 256 + d)  # base is before lo, but at a text's start
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out, types)], names)
 
-    return pieces.join(masks, "gram").select("d", "base", "lo", "hi", "a", "bytes", "mask").mapInArrow(
-        run, "bucket binary, whole binary, tail binary, left long, d long, p long, size long"
-    )
+    kinds = "d long, p long, size long, whole binary" + ", bucket binary, tail binary, left long" * texts
+    return pieces.join(masks, "gram").select(*given).mapInArrow(run, kinds)
 
 
 def _parted(classes: DataFrame) -> DataFrame:
@@ -407,12 +429,13 @@ def _numbers(texts: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Repeats:
     """groups: window (digest of LENGTH bytes), length, n places, d, p (the first), left_diverse, tail (what follows the
-    window), later. places: bucket (the window), whole, tail, d, p, size: every sorted suffix, not written. equal: whole, size and
-    first place of what has several places to its end. numbers: key, first_id, copies, d: equal texts are one, that of the
+    window), later. places: bucket (the window), tail, d, p: every sorted suffix; wholes: whole, size, d, p of them; neither is
+    written. equal: whole, size and first place of what has several places to its end. numbers: key, first_id, copies, d: equal texts are one, that of the
     least id."""
 
     groups: DataFrame
     places: DataFrame
+    wholes: DataFrame
     equal: DataFrame
     numbers: DataFrame
 
@@ -448,7 +471,7 @@ def repeat_groups(docs: DataFrame, seed: int = 0) -> Repeats:
     shared = classes.groupBy("bucket").agg(F.sum("n").alias("places")).filter("places > 1").select("bucket")
     classes = classes.join(shared, "bucket", "left_semi")
     groups = materialize(_scan(_parted(materialize(classes, "shared"))), "groups")
-    return Repeats(groups, places, equal, numbers)
+    return Repeats(groups, places, _suffixes(pieces, masks, texts=False), equal, numbers)
 
 
 def occurrences(groups: DataFrame, places: DataFrame) -> DataFrame:
@@ -465,7 +488,7 @@ def removable(found: Repeats) -> DataFrame:
     nested = groups.select(F.explode("later").alias("at"), "length").select("at.d", "at.p", F.col("length").alias("size"))
     # Suffixes that are equal to the end of their tails: all but the first of them.
     own = F.struct("d", "p")
-    met = found.places.select("whole", "size", "d", "p").join(found.equal, ["whole", "size"])
+    met = found.wholes.join(found.equal, ["whole", "size"])
     rest = met.filter(own > F.col("first")).select("d", "p", "size")
     return nested.union(rest).groupBy("d").agg(F.collect_set(F.struct("p", "size")).alias("spans"))
 

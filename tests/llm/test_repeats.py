@@ -62,7 +62,7 @@ def corpus(rng):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,bucket,windows", [(1, 50_000, 1 << 19), (2, 3, 1 << 19), (3, 2, 300), (4, 50_000, 300)])
+@pytest.mark.parametrize("seed,bucket,windows", [(1, 50_000, 1 << 15), (2, 3, 1 << 15), (3, 2, 300), (4, 50_000, 300)])
 def test_awkward_repeats(spark, monkeypatch, seed, bucket, windows):
     monkeypatch.setattr(repeats, "BUCKET", bucket)
     monkeypatch.setattr(repeats, "_WINDOWS", windows)
