@@ -20,6 +20,7 @@ from kinecohort.operators.series import series_basic_stats
 from kinecohort.plans import presets as P
 from kinecohort.plans.models import load_models, save_models
 from kinecohort.plans.prepare import clean_train, merge_series_features, prepare_test, prepare_train
+from kinecohort.plans.parzen import maximise
 from kinecohort.plans.search import param_search
 from kinecohort.plans.training import batch_score, train, train_level1, train_level2
 from kinecohort.sources.artifacts import load_artifacts, save_artifacts
@@ -576,3 +577,19 @@ def linear_fold_weights(spark, sf_dir):
     _, fits, _ = linear_out_of_fold(folded(spark, sf_dir), ["p1", "p2"], P.SCORE_CUTS)
     rows = [(k, *f.coefficients, f.intercept) for k, f in fits.items()]
     return tidy(spark.createDataFrame(rows, "fold long, b1 double, b2 double, b0 double"), 5)
+
+
+@query("parzen_search")
+def parzen_search(spark, sf_dir):
+    """Twelve trials for the cut points of a score, each the kappa of all rows; every trial is led by those before it."""
+    rows = scored(spark, sf_dir).select("y", "p1").persist()
+    space = {f"t{i}": (i - 0.5, i + 1.5, None) for i in range(3)}
+
+    def kappa(cuts):
+        return M.quadratic_kappa(M.labelled(rows, "p1", sorted(cuts.values())), "y", "label").first()["kappa"]
+
+    try:
+        history = maximise(kappa, 12, 3, {}, space)
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame([(i, v, *p.values()) for i, (p, v) in enumerate(history)], "trial int, kappa double, t0 double, t1 double, t2 double")

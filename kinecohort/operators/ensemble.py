@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinecohort.functions.columns import col, finite_or_null, threshold_label
+from kinecohort.operators.boosting import LIBRARIES, BoostedRegressor, settings_of
 from kinecohort.operators.scoring import quadratic_kappa
 from kinecohort.sources.shared import materialize
 
@@ -83,7 +84,10 @@ class FeatureVector:
         return df.select(*[col(c) for c in keep], self.column().alias(FEATURES))
 
 
-def fit_feature_vector(df: DataFrame, names: Sequence[str]) -> FeatureVector:
+def fit_feature_vector(df: DataFrame, names: Sequence[str], keep_missing: bool = False) -> FeatureVector:
+    """The fills of a table; with ``keep_missing``, NaN stays, for learners that find a side for it."""
+    if keep_missing:
+        return FeatureVector(tuple(names), (float("nan"),) * len(names))
     row = df.agg(*[F.min(finite_or_null(col(c).cast("double"))).alias(f"f{i}") for i, c in enumerate(names)]).first()
     lows = [row[f"f{i}"] for i in range(len(names))]
     return FeatureVector(tuple(names), tuple(0.0 if v is None else v - 1.0 for v in lows))
@@ -220,18 +224,26 @@ class FittedEnsemble:
 
 @dataclass(frozen=True)
 class Ensemble:
-    """Specification: members as {name, model_class, params, weight?}; nested ones allowed."""
+    """Specification: members as {name, model_class, params, weight?}; nested ones allowed.
+
+    With engine="histogram" boosted members are those of ``boosting``, on which every parameter acts; forests stay MLlib's.
+    """
 
     params: tuple[Mapping[str, Any], ...]
+    engine: str = "mllib"
 
     def fit(self, df: DataFrame, label: str = "y") -> FittedEnsemble:
         """Fit on rows with a feature vector and a label."""
-        gains = any("min_gain_to_split" in p["params"] for p in self.params)
+        if self.engine not in ("mllib", "histogram"):
+            raise ValueError(f"unknown engine: {self.engine}")
+        gains = self.engine == "mllib" and any("min_gain_to_split" in p["params"] for p in self.params)
         rows = df.count() if gains else None
         members = []
         for p in self.params:
             if p["model_class"] == NESTED:
-                model: Any = Ensemble(tuple(p["params"]["params"])).fit(df, label)
+                model: Any = Ensemble(tuple(p["params"]["params"]), self.engine).fit(df, label)
+            elif self.engine == "histogram" and p["model_class"] in LIBRARIES:
+                model = BoostedRegressor(settings_of(p["model_class"], p["params"]), FEATURES, label).fit(df)
             else:
                 model = build_regressor(p["model_class"], p["params"], label, rows=rows).fit(df)
             members.append(Member(p["name"], float(p.get("weight", 1)), model))

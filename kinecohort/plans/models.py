@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import SparkSession
 
+from kinecohort.operators.boosting import BoostedModel
 from kinecohort.operators.ensemble import FeatureVector, FittedEnsemble, Member
 from kinecohort.plans.training import Level1, Level2, Trained
 from kinecohort.sources.artifacts import read_json, write_json
@@ -21,6 +22,8 @@ def _save_ensemble(model: FittedEnsemble, path: str) -> list[dict[str, Any]]:
         entry: dict[str, Any] = {"name": m.name, "weight": m.weight}
         if isinstance(m.model, FittedEnsemble):
             entry["members"] = _save_ensemble(m.model, f"{path}/{i}")
+        elif isinstance(m.model, BoostedModel):
+            entry["trees"] = m.model.to_json()
         else:
             entry["class"] = type(m.model).__name__
             m.model.write().save(f"{path}/{i}")
@@ -33,6 +36,8 @@ def _load_ensemble(entries: list[dict[str, Any]], path: str) -> FittedEnsemble:
     for i, e in enumerate(entries):
         if "members" in e:
             model: Any = _load_ensemble(e["members"], f"{path}/{i}")
+        elif "trees" in e:
+            model = BoostedModel.from_json(e["trees"])
         else:
             model = _READERS[e["class"]].load(f"{path}/{i}")
         members.append(Member(e["name"], e["weight"], model))
