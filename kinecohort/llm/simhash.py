@@ -19,6 +19,8 @@ BLOCK = 1 << 16
 #: Fingerprints in a bucket that are compared with each other; larger buckets go the other way.
 BUCKET = 128
 BITS = 64
+#: Keys that a task makes of its fingerprints, about.
+KEYS = 1 << 21
 #: Links are at most this many differing bits; the two segments below rest on it.
 DISTANCE = 2
 
@@ -136,7 +138,8 @@ def links(fps: DataFrame) -> DataFrame:
     compared within, and a spanning forest of their links is kept. Members of larger ones are indexed by all pairs of wildcards instead: what shares such a key, four
     at most, is linked, whatever the group's size. So no pairs within a group are ever written out.
     """
-    keyed = _variants(fps)
+    # A file of fingerprints is small, but each becomes 66 keys: dealt out by their number, so that tasks stay small.
+    keyed = _variants(fps.repartition(-(-fps.count() * 66 // KEYS) or 1, "fp"))
     shared = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")
     )
