@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,9 +11,11 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinecohort.llm.common import held, mixed, pick, slices
 from kinecohort.sources.shared import fresh_path, materialize
@@ -23,6 +24,10 @@ from kinecohort.sources.shared import fresh_path, materialize
 SEQUENCE = 1024
 SHARD = 1 << 14
 ROUNDS = 6
+#: Tasks that write shards, at most; beyond it, each writes several.
+TASKS = 20_000
+#: How hard sequences are compressed on their way.
+LEVEL = 3
 #: A vocabulary as a file of ranks, on every machine, and the pattern that it goes with.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The id that ends a document and fills the last sequence of a partition.
@@ -97,66 +102,68 @@ class Shards:
         return 8 + 2 * self.length + 1
 
 
-def _counted(docs: DataFrame, path: str) -> DataFrame:
-    """Token counts in the order in which tasks read the documents: pid, pos, doc_id, n (with the end), and a running
-    checksum of the rows so far."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        pid, pos, check = TaskContext.get().partitionId(), 0, 0
-        for batch in slices(batches):
-            ns, checks = [], []
-            for text in batch.column("text").to_pylist():
-                ns.append((len(encode(text)) if text else 0) + 1)
-                check = zlib.crc32((text or "").encode(), check)
-                checks.append(check)
-            k = batch.num_rows
-            columns = [pa.array([pid] * k, pa.int32()), pa.array(range(pos, pos + k), pa.int64()), batch.column("doc_id")]
-            yield pa.record_batch([*columns, pa.array(ns, pa.int64()), pa.array(checks, pa.int64())], ["pid", "pos", "doc_id", "n", "check"])
-            pos += k
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"pid int, pos long, doc_id {kind}, n long, check long")
-
-
-def _sequences(docs: DataFrame, path: str, length: int, before: dict[int, tuple[int, int, int]], n: int, key: int) -> DataFrame:
-    """slot and record of every sequence. before: for each task its first sequence, and the rows and checksum it must
-    meet again."""
+def _packed(docs: DataFrame, path: str, length: int) -> DataFrame:
+    """Documents and sequences as tasks (pid) make them, in order: a row (pos, doc_id, n) with the tokens of each document,
+    its end included, and a row (pos, ids) for each sequence, whose ids are compressed."""
     width = 2 * length
+    kind = docs.schema["doc_id"].dataType
+    none = to_arrow_type(kind)
+    names = ["pid", "pos", "doc_id", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        at, rows, expected = before.get(TaskContext.get().partitionId(), (0, 0, 0))
-        check = 0
+        encode, press = encoder(path), zstandard.ZstdCompressor(LEVEL)
+        pid, pos, at, rest = TaskContext.get().partitionId(), 0, 0, b""
         end = END.to_bytes(2, "little")
 
-        def records(joined: bytes) -> pa.RecordBatch:
+        def sequences(joined: bytes) -> pa.RecordBatch:
             nonlocal at
-            k = len(joined) // width
-            slots = permute(np.arange(at, at + k), n, key)
+            made = [press.compress(joined[i : i + width]) for i in range(0, len(joined), width)]
+            k = len(made)
+            columns = [pa.array([pid] * k, pa.int32()), pa.array(range(at, at + k), pa.int64()), pa.nulls(k, none), pa.nulls(k, pa.int64())]
             at += k
-            heads = slots.astype("<i8").tobytes()
-            made = [heads[8 * i : 8 * i + 8] + joined[i * width : (i + 1) * width] for i in range(k)]
-            return pa.record_batch([pa.array(slots), pa.array(made, pa.binary())], ["slot", "record"])
+            return pa.record_batch([*columns, pa.array(made, pa.binary())], names)
 
-        rest = b""
         for batch in slices(batches, limit=1 << 20):
-            parts = [rest]
-            for text in batch.column("text").to_pylist():
-                parts.append(np.array(encode(text) if text else [], "<u2").tobytes() + end)
-                check = zlib.crc32((text or "").encode(), check)
-            rows -= batch.num_rows
-            joined = b"".join(parts)
+            parts = [np.array(encode(text) if text else [], "<u2").tobytes() + end for text in batch.column("text").to_pylist()]
+            k = batch.num_rows
+            ns = pa.array([len(part) // 2 for part in parts], pa.int64())
+            columns = [pa.array([pid] * k, pa.int32()), pa.array(range(pos, pos + k), pa.int64()), batch.column("doc_id"), ns]
+            yield pa.record_batch([*columns, pa.nulls(k, pa.binary())], names)
+            pos += k
+            joined = b"".join([rest, *parts])
             cut = len(joined) // width * width
             rest = joined[cut:]
             if cut:
-                yield records(joined[:cut])
-        if rows or check != expected:
-            raise RuntimeError("the documents came in another order than when they were counted; write them to a table first")
+                yield sequences(joined[:cut])
         if rest:
-            yield records(rest + end * ((width - len(rest)) // 2))
+            yield sequences(rest + end * ((width - len(rest)) // 2))
+
+    return docs.mapInArrow(run, f"pid int, pos long, doc_id {kind.simpleString()}, n long, ids binary")
+
+
+def _slots(sequences: DataFrame, before: dict[int, int], n: int, key: int) -> DataFrame:
+    """slot and ids of every sequence (pid, pos, ids). before: the first sequence of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = np.array([before[p] for p in batch.column("pid").to_pylist()], np.int64)
+            slots = permute(first + batch.column("pos").to_numpy(), n, key)
+            yield pa.record_batch([pa.array(slots), batch.column("ids")], ["slot", "ids"])
+
+    return sequences.select("pid", "pos", "ids").mapInArrow(run, "slot long, ids binary")
+
+
+def _records(dealt: DataFrame) -> DataFrame:
+    """slot and record (the slot, then the ids) of each sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            heads = batch.column("slot").to_numpy().astype("<i8").tobytes()
+            made = [heads[8 * i : 8 * i + 8] + press.decompress(ids) for i, ids in enumerate(batch.column("ids").to_pylist())]
+            yield pa.record_batch([batch.column("slot"), pa.array(made, pa.binary())], ["slot", "record"])
 
-    return docs.mapInArrow(run, "slot long, record binary")
+    return dealt.mapInArrow(run, "slot long, record binary")
 
 
 def write_shards(
@@ -169,8 +176,9 @@ def write_shards(
     slot = permute(number). Sequences are shuffled to their shards and written in order of slots, as records of one size,
     so that record r of a shard starts at r * stride, and reading can go on at any slot.
 
-    docs must be read from a table, so that its tasks read the same rows twice: first token counts only, from which the
-    numbers follow; then the ids. The second pass checks that it meets the same rows and fails otherwise.
+    Every text is encoded once: the sequences are written compressed, with the number of the task that made them, then
+    numbered, and shuffled by ranges of slots, a whole number of shards to a task. So the numbers hold whatever the
+    order in which docs would be read again.
 
     The index has a row for each part of a document within a sequence: doc_id, part (from 0), slot, shard, record, start
     (token in the sequence), n_tokens (the end token included). Null texts count as empty: one end token. Null ids
@@ -179,24 +187,26 @@ def write_shards(
     """
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
-    counts = materialize(_counted(docs, path), "counts")
-    tasks = counts.groupBy("pid").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.max_by("check", "pos").alias("check"))
-    before, sequences = {}, 0
-    for r in sorted(tasks.collect(), key=lambda r: r["pid"]):  # one row per task
-        before[r["pid"]] = sequences, r["rows"], r["check"]
-        sequences += -(-r["n"] // length)
+    packed = materialize(_packed(docs, path, length), "packed")
+    made, before, sequences = packed.filter("n IS NULL"), {}, 0
+    for r in sorted(made.groupBy("pid").count().collect(), key=lambda r: r["pid"]):  # one row per task
+        before[r["pid"]] = sequences
+        sequences += r["count"]
     shards = Shards(fresh_path(spark, "shards"), sequences, length, per_shard, key)
     if sequences:
-        made = _sequences(docs, path, length, before, sequences, key)
-        made = made.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-        dealt = made.repartition(-(-sequences // per_shard), "shard").sortWithinPartitions("shard", "slot")
+        count = -(-sequences // per_shard)
+        own = -(-count // TASKS)  # shards of a task
+        ranges = F.floor(F.col("slot") / (per_shard * own)).cast("int")
+        dealt = _slots(made, before, sequences, key).repartitionById(-(-count // own), ranges)
         # Bytes pass through a text file as they are; the line end is the last byte of a record.
-        lines = dealt.select("shard", F.col("record").cast("string").alias("value"))
+        shard = F.floor(F.col("slot") / per_shard).cast("long").alias("shard")
+        lines = _records(dealt).select(shard, F.col("record").cast("string").alias("value"), "slot")
+        lines = lines.sortWithinPartitions("shard", "slot").drop("slot")
         lines.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(shards.path)
-    return shards, _index(counts, before, shards)
+    return shards, _index(packed.filter("n IS NOT NULL"), before, shards)
 
 
-def _index(counts: DataFrame, before: dict[int, tuple[int, int, int]], shards: Shards) -> DataFrame:
+def _index(counts: DataFrame, before: dict[int, int], shards: Shards) -> DataFrame:
     spark = counts.sparkSession
     length, n, key = shards.length, shards.sequences, shards.key
 
@@ -217,7 +227,7 @@ def _index(counts: DataFrame, before: dict[int, tuple[int, int, int]], shards: S
                 sequence = first[which] + part
                 begin = np.maximum(starts[which], sequence * length)
                 stop = np.minimum(ends[which], (sequence + 1) * length)
-                slot = permute(before[pid][0] + sequence, n, key)
+                slot = permute(before[pid] + sequence, n, key)
                 yield pd.DataFrame(
                     {
                         "doc_id": own["doc_id"].to_numpy()[which],
