@@ -16,15 +16,15 @@ from pyspark.sql.types import DataType
 from kinecohort.llm.common import keep_rows, lower_words, mixed, pick, slices, utf8, word_hashes, word_places
 from kinecohort.sources.shared import materialize
 
-#: A window matches an item if this share of the item's words is left by the edits between them.
+#: A passage matches an item if this share of the item's words is left by the edits between them.
 SIMILARITY = 0.8
 #: Walks of the embedding, samples of each, and places of a sample. With these, windows at the greatest distance are
 #: found with a probability above 0.99 (see the tests); nearer ones more surely, equal ones always.
 WALKS = 16
 SAMPLES = 6
 PLACES = 2
-#: Words of an item that is looked for by keys, at most. Walks drift apart as edits add up, so for longer items the
-#: windows that have their anchors are compared without keys, and none is lost.
+#: Words that are embedded at once, at most, since walks drift apart as edits add up. Longer items are looked for by equal
+#: parts: of the edits of a match, one part has no more than its share.
 EMBEDDED = 120
 #: Items that are looked for in one pass over the documents.
 BLOCK_ITEMS = 20_000
@@ -33,14 +33,12 @@ _LOWER, _WORD = lower_words()
 
 
 def edits(length: int, similarity: float = SIMILARITY) -> int:
-    """Most word edits between a window and an item of so many words."""
+    """Most word edits between a passage and an item of so many words."""
     return int((1 - similarity) * length + 1e-9)
 
 
-def distance(a: list[int], b: list[int]) -> int:
-    """Edit distance of two sequences, by rows of bits."""
-    if not a or not b:
-        return len(a) + len(b)
+def running(a: list[int], b: list[int], free: bool = False) -> Iterator[int]:
+    """Edit distances of a to the words of b so far, by rows of bits; free: to the nearest passage that ends there."""
     at: dict[int, int] = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | (1 << i)
@@ -51,12 +49,37 @@ def distance(a: list[int], b: list[int]) -> int:
         zero = (((same & up) + up) ^ up) | same | down
         right, left = down | (full & ~(zero | up)), up & zero
         d += bool(right & top) - bool(left & top)
-        right, left = (right << 1) | 1, left << 1
+        right, left = (right << 1) | (not free), left << 1
         up = (left | (full & ~(zero | right))) & full
         down = right & zero & full
+        yield d
+
+
+def distance(a: list[int], b: list[int]) -> int:
+    """Edit distance of two sequences."""
+    if not a or not b:
+        return len(a) + len(b)
+    for d in running(a, b):
+        pass
     return d
 
 
+def nearest(item: list[int], words: list[int], most: int) -> tuple[int, int, int] | None:
+    """Distance, first word and words of the nearest passage of any length, within `most` edits (fewer than the item has
+    words); of equals the one that ends first, then the shortest."""
+    best, end = most + 1, 0
+    for j, d in enumerate(running(item, words, free=True), 1):
+        if d < best:
+            best, end = d, j
+        if not best:
+            break
+    if best > most:
+        return None
+    back = words[max(0, end - len(item) - best) : end][::-1]
+    n = next(j for j, d in enumerate(running(item[::-1], back), 1) if d == best)
+    return best, end - n, n
+
+
 def signatures(words: np.ndarray, length: int) -> np.ndarray:
     """Keys of windows (a row of word hashes each) for each walk and sample, for items of `length` words.
 
@@ -101,12 +124,15 @@ def signatures(words: np.ndarray, length: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Items of a block, by number: their words, and what windows are compared with."""
+    """Items of a block, by number: their words; and their parts, whose anchors and keys windows are compared with."""
 
     ids: list
     words: list[np.ndarray]
+    similarity: float = SIMILARITY
+    part_items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    part_places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     anchor_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    anchor_items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    anchor_parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     anchor_places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     needed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     most: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -121,22 +147,24 @@ def words_of(text: bytes) -> np.ndarray:
 
 
 def prepare(ids: list, texts: list[bytes], similarity: float = SIMILARITY) -> Items:
-    """Anchors and buckets of the items.
+    """Parts of the items, with anchors and buckets.
 
-    Anchors of an item are its 2k + 2 rarest words (all, if it has fewer), k being the edits allowed. k edits spoil k of
-    them at most, so a window without the others, on diagonals that differ by up to 2k, cannot match. This only
+    Anchors of a part are its 2k + 2 rarest words (all, if it has fewer), k being the edits allowed. k edits spoil k of
+    them at most, so windows without the others, on diagonals that differ by up to 2k, hold no match. This only
     spares windows that could not pass; which of the rest are compared is up to the buckets.
     """
     pairs = [(i, w) for i, w in zip(ids, map(words_of, texts)) if len(w)]
-    items = Items([i for i, _ in pairs], [w for _, w in pairs])
+    items = Items([i for i, _ in pairs], [w for _, w in pairs], similarity)
     if not pairs:
         return items
-    flat = np.concatenate([np.unique(w) for w in items.words])
+    parts = [(i, p[0], w[p]) for i, w in enumerate(items.words) for p in np.array_split(np.arange(len(w)), -(-len(w) // EMBEDDED))]
+    items.part_items, items.part_places = (np.array([p[c] for p in parts]) for c in (0, 1))
+    flat = np.concatenate([np.unique(w) for _, _, w in parts])
     values, counts = np.unique(flat, return_counts=True)
     anchors: list[tuple[int, int, int]] = []
     needed, most = [], []
     by_size: dict[int, list[int]] = {}
-    for i, w in enumerate(items.words):
+    for i, (_, _, w) in enumerate(parts):
         k = edits(len(w), similarity)
         rarity = counts[np.searchsorted(values, w)]
         chosen = np.lexsort((np.arange(len(w)), rarity))[: 2 * k + 2]
@@ -146,14 +174,12 @@ def prepare(ids: list, texts: list[bytes], similarity: float = SIMILARITY) -> It
         by_size.setdefault(len(w), []).append(i)
     anchors.sort()
     items.anchor_words = np.array([a for a, _, _ in anchors], np.uint64)
-    items.anchor_items = np.array([i for _, i, _ in anchors])
+    items.anchor_parts = np.array([i for _, i, _ in anchors])
     items.anchor_places = np.array([p for _, _, p in anchors])
     items.needed, items.most = np.array(needed), np.array(most)
-    items.sizes = np.array([len(w) for w in items.words])
+    items.sizes = np.array([len(w) for _, _, w in parts])
     for size, own in by_size.items():
-        if size > EMBEDDED:
-            continue
-        keys = signatures(np.stack([items.words[i] for i in own]), size)
+        keys = signatures(np.stack([parts[i][2] for i in own]), size)
         bands = np.repeat(np.array(own), keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
         items.buckets[size] = keys.ravel()[order], bands[order]
@@ -167,93 +193,83 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n), who
 
 
-def windows(items: Items, hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word and size of each window that has the anchors of some item of its size, in order; and that item, if
-    it is too long for keys (else -1, once for all items)."""
+def windows(items: Items, hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and size of each window that has the anchors of some part of its size, in order."""
     low = np.searchsorted(items.anchor_words, hashes, side="left")
     high = np.searchsorted(items.anchor_words, hashes, side="right")
     anchor, word = _spread(low, high)
-    item = items.anchor_items[anchor]
+    part = items.anchor_parts[anchor]
     text = np.searchsorted(texts, word, side="right") - 1
     diagonal = word - texts[text] - items.anchor_places[anchor]
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal = text[order], item[order], diagonal[order]
-    k, r = items.most[item], items.needed[item]
+    order = np.lexsort((diagonal, part, text))
+    text, part, diagonal = text[order], part[order], diagonal[order]
+    k, r = items.most[part], items.needed[part]
     j = np.arange(len(text)) + r - 1
     ok = j < len(text)
     j = np.minimum(j, max(0, len(text) - 1))
-    ok &= (text[j] == text) & (item[j] == item) & (diagonal[j] - diagonal <= 2 * k)
-    text, item, near, far, k = text[ok], item[ok], diagonal[ok], diagonal[j[ok]], k[ok]
-    size = items.sizes[item]
-    # A text shorter than the item is one window; else windows lie within it.
-    last = np.maximum(0, np.diff(texts)[text] - size)
+    ok &= (text[j] == text) & (part[j] == part) & (diagonal[j] - diagonal <= 2 * k)
+    text, part, near, far, k = text[ok], part[ok], diagonal[ok], diagonal[j[ok]], k[ok]
+    size = items.sizes[part]
+    # Windows may end up to k words after their text, where a passage with missing words ends.
+    last = np.maximum(0, np.diff(texts)[text] - size + k)
     start, who = _spread(np.clip(far - k, 0, last), np.clip(near + k, 0, last) + 1)
-    long = np.where(size > EMBEDDED, item, -1)
-    found = np.unique(np.stack([text[who], long[who], start, size[who]], axis=1), axis=0)
-    return found[:, 0], found[:, 2], found[:, 3], found[:, 1]
-
-
-def _nearest(item: list[int], words: list[int], starts: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """Distance, first word and words of the nearest window at one of the starts (the first of equals), within `most` edits.
-
-    A window one word on is nearer by two edits at most, so windows that this rules out are passed over.
-    """
-    best, i = None, 0
-    while i < len(starts):
-        start = int(starts[i])
-        window = words[start : start + len(item)]
-        d = distance(item, window)
-        bar = best[0] - 1 if best else most
-        if d <= bar:
-            best, bar = (d, start, len(window)), d - 1
-        if bar < 0:
-            break
-        i = int(np.searchsorted(starts, start + max(1, -(-(d - bar) // 2))))
-    return best
-
-
-def matches(items: Items, hashes: np.ndarray, texts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Text, item, distance, first word and words of the nearest window (the first of equals) of each pair that has one
-    within the edits allowed.
-
-    Windows that share more keys with the item come first. Equal ones share all, so after one of those the others need no
-    comparison. Items too long for keys are compared with all windows that have their anchors.
-    """
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    text, start, size, long = windows(items, hashes, texts)
-    alone = np.flatnonzero(long >= 0)
-    cuts = np.flatnonzero((np.diff(text[alone]) != 0) | (np.diff(long[alone]) != 0)) + 1
-    for rows in np.split(alone, cuts) if len(alone) else ():
-        t, i = int(text[rows[0]]), int(long[rows[0]])
-        words = hashes[texts[t] : texts[t + 1]].tolist()
-        found = _nearest(items.words[i].tolist(), words, start[rows], int(items.most[i]))
-        if found:
-            best[t, i] = found
-    for length in np.unique(size[long < 0]).tolist():
-        own = np.flatnonzero((size == length) & (long < 0))
+    found = np.unique(np.stack([text[who], start, size[who]], axis=1), axis=0)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def _candidates(items: Items, hashes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Text, item, and from where to where in the text a passage may lie, of windows that share a key with a part."""
+    text, start, size = windows(items, hashes, texts)
+    lengths = np.array([len(w) for w in items.words], np.int64)
+    allowed = np.array([edits(n, items.similarity) for n in lengths.tolist()], np.int64)
+    out = [np.zeros((0, 4), np.int64)]
+    for length in np.unique(size).tolist():
+        own = np.flatnonzero(size == length)
         keys, holders = items.buckets[length]
         for a in range(0, len(own), 2048):
             rows = own[a : a + 2048]
-            first = texts[text[rows]] + start[rows]
-            grid = first[:, None] + np.arange(length)
+            grid = (texts[text[rows]] + start[rows])[:, None] + np.arange(length)
             inside = grid < texts[text[rows] + 1][:, None]
             filled = np.where(inside, np.append(hashes, np.uint64(0))[np.where(inside, grid, len(hashes))], np.uint64(0))
             own_keys = signatures(filled, length)
             at, who = _spread(np.searchsorted(keys, own_keys.ravel(), "left"), np.searchsorted(keys, own_keys.ravel(), "right"))
-            if not len(at):
-                continue
-            pairs, shared = np.unique(np.stack([who // own_keys.shape[1], holders[at]], axis=1), axis=0, return_counts=True)
-            for (w, i), k in sorted(zip(pairs.tolist(), shared.tolist()), key=lambda x: -x[1]):
-                pair = int(text[rows[w]]), i
-                if k < own_keys.shape[1] and best.get(pair, (1,))[0] == 0:
-                    continue
-                words, item = filled[w][inside[w]].tolist(), items.words[i].tolist()
-                if len(item) - sum(map(set(words).__contains__, item)) > items.most[i]:
-                    continue  # each word that the window lacks is an edit
-                d = distance(item, words)
-                if d <= items.most[i]:
-                    new = d, int(start[rows[w]]), len(words)
-                    best[pair] = min(best.get(pair, new), new)
+            w, part = np.unique(np.stack([who // own_keys.shape[1], holders[at]], axis=1), axis=0).T
+            t, i = text[rows[w]], items.part_items[part]
+            # The part begins up to 2k of its own edits from the window, the item's edits shift it against the item.
+            first = start[rows[w]] - items.part_places[part]
+            slack = 2 * items.most[part] + allowed[i]
+            low, high = first - slack, first + slack + lengths[i] + allowed[i]
+            out.append(np.stack([t, i, np.maximum(0, low), np.minimum(high, np.diff(texts)[t])], axis=1))
+    found = np.concatenate(out)
+    return found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+
+
+def matches(items: Items, hashes: np.ndarray, texts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Text, item, distance, first word and words of the nearest passage of each pair that has one within the edits
+    allowed.
+
+    Windows have the size of the item (or of its part); a passage of another length lies around one that shares a key. So
+    the item is aligned, as a whole, with the words around such windows, those that overlap being taken together.
+    """
+    found = _candidates(items, hashes, texts)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    if not len(found):
+        return []
+    # A stretch begins where the pair changes, or beyond all ends so far of the pair.
+    pair = np.cumsum(np.append(0, np.any(found[1:, :2] != found[:-1, :2], axis=1)))
+    span = int(texts[-1]) + 1
+    reach = np.maximum.accumulate(pair * span + found[:, 3]) - pair * span
+    heads = np.flatnonzero(np.append(True, (np.diff(pair) != 0) | (found[1:, 2] > reach[:-1])))
+    for (t, i, low, _), high in zip(found[heads].tolist(), reach[np.append(heads[1:], len(found)) - 1].tolist()):
+        item = items.words[i].tolist()
+        had = best.get((t, i))
+        most = had[0] - 1 if had else edits(len(item), items.similarity)
+        words = hashes[texts[t] + low : texts[t] + high].tolist()
+        if len(item) - sum(map(set(words).__contains__, item)) > most:
+            continue  # each word that the stretch lacks is an edit
+        new = nearest(item, words, most) if most >= 0 else None
+        if new:
+            best[t, i] = new[0], low + new[1], new[2]
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
@@ -279,10 +295,10 @@ def _search(docs: DataFrame, items: Items, item_kind: DataType) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK_ITEMS) -> DataFrame:
     """One row for each document and benchmark item (item_id, text) that a passage of it matches: distance (word edits
-    between the item and its nearest window), item_words, first_word and n_words of that window.
+    between the item and its nearest passage), item_words, first_word and n_words of that passage.
 
-    Words are runs of ASCII letters and digits in lower case and of everything beyond ASCII. Windows have as many words
-    as the item (a shorter text is one window); one matches if at most (1 - similarity) of the item's words are edits.
+    Words are runs of ASCII letters and digits in lower case and of everything beyond ASCII. A passage, of any length,
+    matches if at most (1 - similarity) of the item's words are edits: words replaced, missing or added.
     Items of fewer than five words thus match exact only; those without words, and null texts of either side,
     match nothing. Null ids and repeated rows of either side each give rows of their own. Empty tables give no rows.
 
