@@ -26,7 +26,10 @@ SHARD = 1 << 14
 ROUNDS = 6
 #: Tasks that write shards, at most; beyond it, each writes several.
 TASKS = 20_000
-#: How hard sequences are compressed on their way.
+#: Bytes of ids that a task writes compressed together, at most (or one sequence), and how hard; how hard single sequences
+#: are on their way to their shard.
+RUN = 4 << 20
+RUN_LEVEL = 9
 LEVEL = 3
 #: A vocabulary as a file of ranks, on every machine, and the pattern that it goes with.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -104,53 +107,56 @@ class Shards:
 
 def _packed(docs: DataFrame, path: str, length: int) -> DataFrame:
     """Documents and sequences as tasks (pid) make them, in order: a row (pos, doc_id, n) with the tokens of each document,
-    its end included, and a row (pos, ids) for each sequence, whose ids are compressed."""
+    its end included, and a row (pos, k, ids) for each run of k sequences from number pos on, compressed together."""
     width = 2 * length
+    most = max(1, RUN // width) * width
     kind = docs.schema["doc_id"].dataType
     none = to_arrow_type(kind)
-    names = ["pid", "pos", "doc_id", "n", "ids"]
+    names = ["pid", "pos", "doc_id", "n", "k", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, press = encoder(path), zstandard.ZstdCompressor(LEVEL)
+        encode, press = encoder(path), zstandard.ZstdCompressor(RUN_LEVEL)
         pid, pos, at, rest = TaskContext.get().partitionId(), 0, 0, b""
         end = END.to_bytes(2, "little")
 
-        def sequences(joined: bytes) -> pa.RecordBatch:
+        def runs(joined: bytes) -> Iterator[pa.RecordBatch]:
             nonlocal at
-            made = [press.compress(joined[i : i + width]) for i in range(0, len(joined), width)]
-            k = len(made)
-            columns = [pa.array([pid] * k, pa.int32()), pa.array(range(at, at + k), pa.int64()), pa.nulls(k, none), pa.nulls(k, pa.int64())]
-            at += k
-            return pa.record_batch([*columns, pa.array(made, pa.binary())], names)
+            for i in range(0, len(joined), most):
+                run = joined[i : i + most]
+                k = len(run) // width
+                columns = [pa.array([pid], pa.int32()), pa.array([at], pa.int64()), pa.nulls(1, none), pa.nulls(1, pa.int64())]
+                yield pa.record_batch([*columns, pa.array([k], pa.int64()), pa.array([press.compress(run)], pa.binary())], names)
+                at += k
 
         for batch in slices(batches, limit=1 << 20):
             parts = [np.array(encode(text) if text else [], "<u2").tobytes() + end for text in batch.column("text").to_pylist()]
             k = batch.num_rows
             ns = pa.array([len(part) // 2 for part in parts], pa.int64())
             columns = [pa.array([pid] * k, pa.int32()), pa.array(range(pos, pos + k), pa.int64()), batch.column("doc_id"), ns]
-            yield pa.record_batch([*columns, pa.nulls(k, pa.binary())], names)
+            yield pa.record_batch([*columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
             pos += k
             joined = b"".join([rest, *parts])
-            cut = len(joined) // width * width
+            cut = len(joined) // most * most
             rest = joined[cut:]
-            if cut:
-                yield sequences(joined[:cut])
-        if rest:
-            yield sequences(rest + end * ((width - len(rest)) // 2))
+            yield from runs(joined[:cut])
+        yield from runs(rest + end * (-len(rest) % width // 2))
 
-    return docs.mapInArrow(run, f"pid int, pos long, doc_id {kind.simpleString()}, n long, ids binary")
+    return docs.mapInArrow(run, f"pid int, pos long, doc_id {kind.simpleString()}, n long, k long, ids binary")
 
 
-def _slots(sequences: DataFrame, before: dict[int, int], n: int, key: int) -> DataFrame:
-    """slot and ids of every sequence (pid, pos, ids). before: the first sequence of each task."""
+def _slots(runs: DataFrame, width: int, before: dict[int, int], n: int, key: int) -> DataFrame:
+    """slot and ids (compressed) of every sequence of runs (pid, pos, ids). before: the first sequence of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(LEVEL)
         for batch in batches:
-            first = np.array([before[p] for p in batch.column("pid").to_pylist()], np.int64)
-            slots = permute(first + batch.column("pos").to_numpy(), n, key)
-            yield pa.record_batch([pa.array(slots), batch.column("ids")], ["slot", "ids"])
+            for pid, pos, ids in zip(batch.column("pid").to_pylist(), batch.column("pos").to_pylist(), batch.column("ids")):
+                joined = whole.decompress(ids.as_py())
+                made = [press.compress(joined[i : i + width]) for i in range(0, len(joined), width)]
+                slots = permute(before[pid] + pos + np.arange(len(made)), n, key)
+                yield pa.record_batch([pa.array(slots), pa.array(made, pa.binary())], ["slot", "ids"])
 
-    return sequences.select("pid", "pos", "ids").mapInArrow(run, "slot long, ids binary")
+    return runs.select("pid", "pos", "ids").mapInArrow(run, "slot long, ids binary")
 
 
 def _records(dealt: DataFrame) -> DataFrame:
@@ -176,8 +182,8 @@ def write_shards(
     slot = permute(number). Sequences are shuffled to their shards and written in order of slots, as records of one size,
     so that record r of a shard starts at r * stride, and reading can go on at any slot.
 
-    Every text is encoded once: the sequences are written compressed, with the number of the task that made them, then
-    numbered, and shuffled by ranges of slots, a whole number of shards to a task. So the numbers hold whatever the
+    Every text is encoded once: the sequences are written in compressed runs, with the number of the task that made them,
+    then numbered, and shuffled by ranges of slots, a whole number of shards to a task. So the numbers hold whatever the
     order in which docs would be read again.
 
     The index has a row for each part of a document within a sequence: doc_id, part (from 0), slot, shard, record, start
@@ -189,15 +195,15 @@ def write_shards(
     docs = pick(docs, "doc_id", "text")
     packed = materialize(_packed(docs, path, length), "packed")
     made, before, sequences = packed.filter("n IS NULL"), {}, 0
-    for r in sorted(made.groupBy("pid").count().collect(), key=lambda r: r["pid"]):  # one row per task
+    for r in sorted(made.groupBy("pid").agg(F.sum("k").alias("k")).collect(), key=lambda r: r["pid"]):  # one row per task
         before[r["pid"]] = sequences
-        sequences += r["count"]
+        sequences += r["k"]
     shards = Shards(fresh_path(spark, "shards"), sequences, length, per_shard, key)
     if sequences:
         count = -(-sequences // per_shard)
         own = -(-count // TASKS)  # shards of a task
         ranges = F.floor(F.col("slot") / (per_shard * own)).cast("int")
-        dealt = _slots(made, before, sequences, key).repartitionById(-(-count // own), ranges)
+        dealt = _slots(made, 2 * length, before, sequences, key).repartitionById(-(-count // own), ranges)
         # Bytes pass through a text file as they are; the line end is the last byte of a record.
         shard = F.floor(F.col("slot") / per_shard).cast("long").alias("shard")
         lines = _records(dealt).select(shard, F.col("record").cast("string").alias("value"), "slot")

@@ -373,7 +373,10 @@ def shard_rows(spark, tmp_path, rows):
     return spark.read.parquet(path)
 
 
-def test_documents_are_read_back_from_their_records(spark, tmp_path, library):
+@pytest.mark.parametrize("run, tasks", [(4 << 20, 20_000), (100, 2)])
+def test_documents_are_read_back_from_their_records(spark, tmp_path, library, monkeypatch, run, tasks):
+    monkeypatch.setattr(shards, "RUN", run)
+    monkeypatch.setattr(shards, "TASKS", tasks)
     draw = random.Random(8)
     texts = [" ".join(draw.choices(["the", "cat\n", "Ωμ", "x1", "\n\n"], k=draw.randint(0, 60))) for _ in range(80)]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(7, texts[7], "again"), (None, "no id", None), (90, None, None), (91, "a <|endoftext|> b", "")]
