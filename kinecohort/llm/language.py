@@ -155,8 +155,8 @@ def phrases(model: Languages, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 def fit_languages(docs: DataFrame) -> Languages:
     """Labelled text by language, from columns doc_id, text and lang; rows without any of the three teach nothing.
 
-    A bounded sample: of the rows of a language, some TRAIN_ROWS by a hash of id and text (repeated rows once), up to
-    TRAIN_CHARS characters from each and TRAIN_BYTES in all.
+    A bounded sample: of the rows of a language, some TRAIN_ROWS by a hash of the id (repeated rows once); of each text
+    TRAIN_CHARS characters that start at a hashed place, anywhere in the whole text, and TRAIN_BYTES in all.
     """
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)).alias("draw")
     rows = pick(docs, "doc_id", "text", "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
@@ -167,8 +167,10 @@ def fit_languages(docs: DataFrame) -> Languages:
     if not counted:
         return Languages(())
     below = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1 << 30, (TRAIN_ROWS << 31) // max(1, r["n"])))])
+    # The hash of the text has no part in the draw, so the place does not go with it.
+    begins = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS + 1)).cast("int") + 1
     chosen = rows.select("lang", "text", drawn).filter(F.col("draw") < below[F.col("lang")])
-    chosen = chosen.groupBy("lang", "draw").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"))
+    chosen = chosen.groupBy("lang", "draw").agg(F.min(F.substring("text", begins, F.lit(TRAIN_CHARS))).alias("text"))
     texts: dict[str, bytes] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["draw"])):
         own = texts.get(r["lang"], b"")

@@ -61,21 +61,27 @@ def _matches(found: str, rule_table: str) -> str:
         r -> size(r.hits) > 0)"""
 
 
+def _running(values: str, size: str, combine: str, finish: str = "a -> a") -> str:
+    """Running totals of an array: each element is combined with the total that ends `d` places before it, for d = 1, 2, 4 ...
+
+    combine: a lambda's body over x (an element), and a and i - d (where the other one stands, or none). An array of n takes
+    log2(n) rounds over it, so time does not grow with the square of a text's matches.
+    """
+    rounds = f"slice(sequence(0, 30), 1, CAST(ceil(log2(greatest(1, {size}))) AS INT))"
+    return f"aggregate({rounds}, {values}, (a, j) -> transform(a, (x, i) -> {combine.replace('i - d', 'i - shiftleft(1, j)')}), {finish})"
+
+
 def _places(matches: str) -> str:
-    """Start and end in words of every match: the words of what lies before it."""
-    kind = "ARRAY<STRUCT<rule: INT, label: STRING, priority: INT, s: INT, e: INT>>"
-    return f"""
-      flatten(transform({matches}, r ->
-        aggregate(
-          sequence(0, size(r.hits) - 1),
-          struct(0 AS at, CAST(array() AS {kind}) AS out),
-          (a, k) -> struct(
-            a.at + {_n_words("r.parts[k]")} + {_n_words("r.hits[k]")} AS at,
-            concat(a.out, array(struct(
-              r.rule AS rule, r.label AS label, r.priority AS priority,
-              a.at + {_n_words("r.parts[k]")} AS s,
-              a.at + {_n_words("r.parts[k]")} + {_n_words("r.hits[k]")} AS e))) AS out),
-          a -> a.out)))"""
+    """Start and end in words of every match: the words up to its end, and that without its own."""
+    words = f"zip_with(slice(r.parts, 1, size(r.hits)), r.hits, (p, h) -> {_n_words('p')} + {_n_words('h')})"
+    ends = _running(
+        words,
+        "size(r.hits)",
+        "x + coalesce(get(a, i - d), 0)",
+        f"""a -> transform(a, (e, k) -> struct(
+          r.rule AS rule, r.label AS label, r.priority AS priority, e - {_n_words("r.hits[k]")} AS s, e AS e))""",
+    )
+    return f"flatten(transform({matches}, r -> {ends}))"
 
 
 def _unsuppressed(places: str) -> str:
@@ -84,18 +90,19 @@ def _unsuppressed(places: str) -> str:
     In the order of start, and longest first, what contains a match comes before it: so the farthest end so far, for
     each priority, decides.
     """
-    kind = "ARRAY<STRUCT<rule: INT, label: STRING, priority: INT, s: INT, e: INT>>"
-    reach = ", ".join(["-1"] * (PRIORITIES + 1))
+    levels = range(PRIORITIES + 1)
     ordered = f"transform({places}, d -> struct(d.s AS s, -d.e AS e, -d.priority AS p, d.rule AS rule, d.label AS label))"
-    return f"""
-      aggregate(
-        sort_array({ordered}),
-        struct(array({reach}) AS reach, CAST(array() AS {kind}) AS out),
-        (a, d) -> struct(
-          transform(a.reach, (x, p) -> CASE WHEN p <= -d.p THEN greatest(x, -d.e) ELSE x END) AS reach,
-          CASE WHEN a.reach[-d.p] >= -d.e THEN a.out
-            ELSE concat(a.out, array(struct(d.rule AS rule, d.label AS label, -d.p AS priority, d.s AS s, -d.e AS e))) END AS out),
-        a -> a.out)"""
+    own = ", ".join(f"CASE WHEN -d.p >= {p} THEN -d.e ELSE -1 END AS r{p}" for p in levels)
+    farther = ", ".join(f"greatest(x.r{p}, coalesce(get(a, i - d).r{p}, -1)) AS r{p}" for p in levels)
+    before = "CASE x.d.p " + " ".join(f"WHEN {-p} THEN a[i - 1].r{p}" for p in levels) + " END"
+    return _running(
+        f"transform(sort_array({ordered}), d -> struct(d AS d, {own}))",
+        f"size({places})",
+        f"struct(x.d AS d, {farther})",
+        f"""a -> transform(
+          filter(a, (x, i) -> i = 0 OR {before} < -x.d.e),
+          x -> struct(x.d.rule AS rule, x.d.label AS label, -x.d.p AS priority, x.d.s AS s, -x.d.e AS e))""",
+    )
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from kinecohort.llm.common import lower_words, mixed, pick, slices, utf8, word_hashes, word_places
 
-#: Labelled rows that the field is fitted on: drawn per class, and characters of each.
+#: Labelled rows that the field is fitted on, and bytes of their whole texts: the most of a class.
 TRAIN_ROWS = 1500
-TRAIN_CHARS = 6000
+TRAIN_BYTES = 8 << 20
 #: Words of a chain; a longer text is several.
 CHAIN = 64
 #: Beginnings of words, in bytes, that are features besides the word itself.
@@ -159,17 +159,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def distinct(texts: list[bytes], sketch: int = 8) -> list[int]:
-    """Places of the texts without those that nearly copy an earlier one: half of a sketch of least word hashes agrees.
+    """Places of the texts without those that nearly copy an earlier one: half of a sketch of least hashes agrees, taken of
+    words that follow each other (long texts of the same few words are no copies).
 
     Copies of one text would make its words look like marks of its class.
     """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     starts, ends, words = word_places(_LOWER[data], np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]), _WORD)
     hashes = word_hashes(_LOWER[data], starts, ends)
+    follow = mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
     seen: dict[int, list[int]] = {}
     kept = []
     for i in range(len(texts)):
-        least = np.unique(hashes[words[i] : words[i + 1]])[:sketch].tolist()
+        a, b = words[i], words[i + 1]
+        least = np.unique(follow[a : b - 1] if b - a > 1 else hashes[a:b])[:sketch].tolist()
         shared = Counter(j for h in least for j in seen.get(h, ()))
         if not least or (shared and 2 * max(shared.values()) >= len(least)):
             continue
@@ -266,8 +269,9 @@ def fit_field(texts: list[bytes], toxic: list[int], share: float, rounds: int =
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field | None:
     """A field from documents (doc_id, text) and their labels (doc_id, toxic); rows without either teach nothing.
 
-    A bounded sample: of each class some TRAIN_ROWS documents by a hash of their id, TRAIN_CHARS characters of each.
-    Of several labels of a document the greatest counts, of several texts the least.
+    A bounded sample: of each class some TRAIN_ROWS documents by a hash of their id, whole texts. In the order of the hash, a
+    text that would bring its class above TRAIN_BYTES is passed over. Of several labels of a document the greatest counts,
+    of several texts the least.
     """
     marks = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -277,9 +281,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Field | None:
     below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (TRAIN_ROWS << 30) // n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
     drawn = marks.withColumn("draw", draw).filter(F.col("draw") < below[F.col("toxic")])
-    # About 2 * TRAIN_ROWS rows, whatever the size of the tables.
-    chosen = pick(docs, "doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
-    chosen = chosen.groupBy("draw", "doc_id", "toxic").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"))
+    # About 2 * TRAIN_ROWS rows, whatever the size of the tables; their sizes come first, so that no more text than allowed is read.
+    known = pick(docs, "doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
+    sizes = known.groupBy("doc_id", "draw", "toxic").agg(F.max(F.octet_length("text")).alias("size")).collect()
+    room, ids = {0: TRAIN_BYTES, 1: TRAIN_BYTES}, []
+    for r in sorted(sizes, key=lambda r: (r["draw"], str(r["doc_id"]))):
+        if r["size"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["size"]
+            ids.append(r["doc_id"])
+    chosen = known.filter(F.col("doc_id").isin(ids)).groupBy("draw", "doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted(chosen.collect(), key=lambda r: (r["draw"], str(r["doc_id"])))
     return fit_field([r["text"].encode() for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
 
