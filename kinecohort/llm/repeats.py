@@ -31,6 +31,8 @@ BUCKET = 50_000
 #: Windows that are looked at together: few enough for a place in 16 bits, and for a processor's cache.
 _WINDOWS = 1 << 15
 _PLACE = np.uint64(0xFFFF)
+#: Bits of the map that tells which texts need not be moved.
+_BITS = 1 << 26
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -79,6 +81,35 @@ def _texts(docs: DataFrame, seed: int) -> DataFrame:
     return named.select("doc_id", F.xxhash64(F.lit(seed), "text").alias("key"), "text")
 
 
+def _maybe(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts with maybe: false only if the text's key is not among keys.
+
+    A bitmap of the keys' lower bits, 8 MB at most whatever the size, goes to all tasks; where it fills up, more texts are
+    moved than need be.
+    """
+    placed = keys.select(
+        F.expr(f"shiftright(key & {_BITS - 1}, 15)").alias("_chunk"), F.expr("cast(key & 32767 AS int)").alias("bit")
+    )
+    sets = placed.groupBy("_chunk").agg(F.collect_set("bit").alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column("bits")
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(bits)))
+            bit = bits.flatten().to_numpy()
+            words = np.zeros((batch.num_rows, 512), np.uint64)
+            np.bitwise_or.at(words, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+            starts = np.arange(batch.num_rows + 1, dtype=np.int32) * 512
+            lists = pa.ListArray.from_arrays(starts, pa.array(words.ravel().view(np.int64)))
+            yield pa.record_batch([batch.column("_chunk"), lists], ["_chunk", "_words"])
+
+    chunks = sets.mapInArrow(run, "_chunk long, _words array<long>")
+    met = texts.join(F.broadcast(chunks), F.expr(f"shiftright(key & {_BITS - 1}, 15)") == chunks["_chunk"], "left")
+    word = "_words[cast(shiftright(key, 6) & 511 AS int)]"
+    is_set = F.expr(f"coalesce(shiftright({word}, cast(key & 63 AS int)) & 1 = 1, false)")
+    return met.select(*texts.columns, is_set.alias("maybe"))
+
+
 def _anchors(texts: DataFrame) -> DataFrame:
     """gram, left (hash of the SPAN bytes before it; of a text that starts there, of the text), key and place of every run.
 
@@ -103,13 +134,25 @@ def _repeated(anchors: DataFrame) -> DataFrame:
     """key, place, gram and diverse (other places have other bytes before it) of the anchors whose gram is at two places.
 
     Sorted by ranges that may split a gram, and looked through in order. A gram at the border of a range counts as diverse:
-    it is in all of its ranges, since it meets a border in each, and some more of the suffixes are sorted.
+    it is in all of its ranges, since it meets a border in each, and some more of the suffixes are sorted. Within a range
+    rows come by gram alone, which is a sort by one number; the few of grams at several places are put in order here.
     """
     by = ["gram", "left", "key", "place"]
-    laid = anchors.repartitionByRange(*by).sortWithinPartitions(*by)
+    laid = anchors.repartitionByRange(*by).sortWithinPartitions("gram")
 
     def decide(rows: list[np.ndarray], border_first: bool, border_last: bool) -> pa.RecordBatch:
-        gram, left, key, place = rows
+        gram = rows[0]
+        begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        size = np.diff(np.append(begin, len(gram)))
+        several = size > 1
+        several[0] |= border_first
+        several[-1] |= border_last
+        several = np.repeat(several, size)
+        gram, left, key, place = (r[several] for r in rows)
+        order = np.lexsort((place, key, left, gram))
+        gram, left, key, place = gram[order], left[order], key[order], place[order]
+        if not len(gram):
+            return pa.record_batch([pa.array(c) for c in (key, place, gram, several[:0])], ["key", "place", "gram", "diverse"])
         new = np.ones(len(gram), bool)  # equal rows are those of equal texts
         new[1:] = (gram[1:] != gram[:-1]) | (left[1:] != left[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])
         gram, left, key, place = gram[new], left[new], key[new], place[new]
@@ -155,31 +198,32 @@ def _pieces(texts: DataFrame, marks: DataFrame) -> DataFrame:
 
     lo and hi (first and last window of the anchor) and a count from base.
     """
-    # Texts are moved once, at every size, so that plans do not change with it.
-    met = texts.join(marks.hint("merge"), (texts["key"] == marks["own_key"]) & texts["doc_id"].eqNullSafe(marks["first_id"]))
-
-    def cut(text: bytes, d: int, place: np.ndarray, gram: np.ndarray, diverse: np.ndarray) -> list[tuple]:
-        a = place >> 16
-        lo, hi = a - (place >> 8 & 255), a - (place & 255)
-        apart = np.append(lo[1:] != hi[:-1] + 1, True)
-        stretch = np.flatnonzero(apart)[np.searchsorted(np.flatnonzero(apart), np.arange(len(a)))]
-        own = np.flatnonzero(diverse)
-        stop = hi[stretch[own]] + LENGTH
-        joined = np.append(stretch[own][1:] == stretch[own][:-1], False)
-        stop[joined] = lo[own[1:][joined[:-1]]] + LENGTH
-        base = np.maximum(a[own] - SPAN, 0)
-        return [
-            (d, int(gram[i]), int(x), int(lo[i] - x), int(hi[i] - x), int(a[i] - x), text[x:s]) for i, x, s in zip(own, base, stop)
-        ]
+    # Texts are moved once, at every size, so that plans do not change with it; those that have no marks stay where they are.
+    some = _maybe(texts, marks.select(F.col("own_key").alias("key"))).filter("maybe").drop("maybe")
+    met = some.join(marks.hint("merge"), (some["key"] == marks["own_key"]) & some["doc_id"].eqNullSafe(marks["first_id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
-            for text, d, marks in zip(batch.column("text"), batch.column("d").to_pylist(), batch.column("marks")):
-                own = marks.values
-                place, gram = own.field("place").to_numpy(), own.field("gram").to_numpy()
-                rows += cut(text.as_py().encode(), d, place, gram, own.field("diverse").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], schema=_PIECE_SCHEMA)
+            data, offsets = utf8(batch.column("text"))
+            marks = batch.column("marks")
+            text = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(marks)))
+            place, gram, diverse = (marks.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("place", "gram", "diverse"))
+            a = place >> 16
+            lo, hi = a - (place >> 8 & 255), a - (place & 255)
+            apart = np.ones(len(a), bool)
+            apart[:-1] = (lo[1:] != hi[:-1] + 1) | (text[1:] != text[:-1])
+            stretch = np.flatnonzero(apart)[np.searchsorted(np.flatnonzero(apart), np.arange(len(a)))]
+            own = np.flatnonzero(diverse)
+            stop = hi[stretch[own]] + LENGTH
+            joined = np.zeros(len(own), bool)
+            joined[:-1] = stretch[own][1:] == stretch[own][:-1]
+            stop[joined] = lo[own[1:][joined[:-1]]] + LENGTH
+            base = np.maximum(a[own] - SPAN, 0)
+            start, whole = offsets[text[own]], data.tobytes()
+            cut = [whole[x:y] for x, y in zip((start + base).tolist(), (start + stop).tolist())]
+            d = batch.column("d").to_numpy()[text[own]]
+            columns = [d, gram[own], base, lo[own] - base, hi[own] - base, a[own] - base, cut]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE_SCHEMA)], schema=_PIECE_SCHEMA)
 
     return met.select("d", "text", "marks").mapInArrow(run, _PIECE)
 
@@ -253,38 +297,80 @@ def _cuts(lo: int, hi: int, a: int, mask: int) -> list[int]:
 _ALL = (1 << 64) - 1
 
 
-def _suffixes(pieces: DataFrame, masks: DataFrame, texts: bool = True) -> DataFrame:
-    """Suffixes to sort: bucket (digest of the window), whole (of window and tail), tail, left (the byte before; of a text's
-    start a number of its own), d, p, size (of window and tail). Without texts: whole, d, p and size only.
+def _suffixes(pieces: DataFrame, masks: DataFrame) -> DataFrame:
+    """Suffixes to sort, in classes of equal ones: bucket (digest of the window), whole (of window and tail), tail, d and p (the
+    first place), n, low and high (least and greatest byte before; of a text's start a number of its own), size (of window and
+    tail). Suffixes of one batch are summed up; the places that are not the first of their class there follow as rows with d,
+    p and size only.
 
     Cuts are the first window of every diverse anchor's run, and those at the anchor's parting places. A tail goes on to the
     end of the next cut's window, where that suffix takes over: whatever two places share there, they share both
     cuts. So the bytes that are sorted are few however many repeats lie within each other.
     """
-    given = ("d", "base", "lo", "hi", "a", "bytes", "mask")
-    names = ["d", "p", "size", "whole"] + ["bucket", "tail", "left"] * texts
-    types = [pa.int64()] * 3 + [pa.binary()] + [pa.binary(), pa.binary(), pa.int64()] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            ds, ps, sizes, wholes, *more = out
-            for d, base, lo, hi, a, text, mask in zip(*[batch.column(c).to_pylist() for c in given]):
-                cuts = _cuts(lo, hi, a, mask)
-                for p, q in zip(cuts, [*[x + LENGTH for x in cuts[1:]], len(text)]):
-                    ds.append(d)
-                    ps.append(base + p)
-                    sizes.append(q - p)
-                    wholes.append(digest(text[p:q]))
-                    if texts:
-                        more[0].append(digest(text[p : p + LENGTH]))
-                        more[1].append(text[p + LENGTH : q])
-                        more[2].append(text[p - 1] if p else 256 + d)  # base is before lo, but at a text's start
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out, types)], names)
-
-    kinds = "d long, p long, size long, whole binary" + ", bucket binary, tail binary, left long" * texts
-    return pieces.join(masks, "gram").select(*given).mapInArrow(run, kinds)
+            classes: dict[bytes, list] = {}
+            ds, ps, sizes = [], [], []
+            for d, base, p, q, data, left in _cut(batch):
+                at, whole = base + p, digest(data[p:q])
+                own = classes.get(whole)
+                if own is None:
+                    classes[whole] = [digest(data[p : p + LENGTH]), whole, data[p + LENGTH : q], d, at, 1, left, left, q - p]
+                    continue
+                own[5] += 1
+                if left < own[6]:
+                    own[6] = left
+                elif left > own[7]:
+                    own[7] = left
+                # A row that is there twice has a place twice.
+                if d < own[3] or (d == own[3] and at < own[4]):
+                    d, own[3], at, own[4] = own[3], d, own[4], at
+                elif d == own[3] and at == own[4]:
+                    continue
+                ds.append(d)
+                ps.append(at)
+                sizes.append(q - p)
+            if not classes:
+                continue
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*classes.values()), _SUFFIX_SCHEMA)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SUFFIX_SCHEMA)
+            given = {"d": ds, "p": ps, "size": sizes}
+            columns = [pa.array(given.get(f.name, [None] * len(ds)), f.type) for f in _SUFFIX_SCHEMA]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SUFFIX_SCHEMA)
+
+    return pieces.join(masks, "gram").select(*_GIVEN).mapInArrow(run, _SUFFIX)
+
+
+def _places(pieces: DataFrame, masks: DataFrame) -> DataFrame:
+    """bucket (digest of the window), tail, d and p of every sorted suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = list(_cut(batch))
+            columns = [
+                pa.array([xxhash.xxh3_128_digest(x[p : p + LENGTH]) for _, _, p, _, x, _ in cuts], pa.binary()),
+                pa.array([x[p + LENGTH : q] for _, _, p, q, x, _ in cuts], pa.binary()),
+                pa.array([d for d, *_ in cuts], pa.int64()),
+                pa.array([base + p for _, base, p, *_ in cuts], pa.int64()),
+            ]
+            yield pa.record_batch(columns, ["bucket", "tail", "d", "p"])
+
+    return pieces.join(masks, "gram").select(*_GIVEN).mapInArrow(run, "bucket binary, tail binary, d long, p long")
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes, int]]:
+    """d, base, p and q (a suffix starts and ends there, from base), bytes and left (the byte before) of every suffix."""
+    for d, base, lo, hi, a, data, mask in zip(*[batch.column(c).to_pylist() for c in _GIVEN]):
+        cuts = _cuts(lo, hi, a, mask)
+        for p, q in zip(cuts, [*[x + LENGTH for x in cuts[1:]], len(data)]):
+            yield d, base, p, q, data, data[p - 1] if p else 256 + d  # base is before lo, but at a text's start
+
+
+_GIVEN = ["d", "base", "lo", "hi", "a", "bytes", "mask"]
+_SUFFIX = "bucket binary, whole binary, tail binary, d long, p long, n long, low long, high long, size long"
+_SUFFIX_SCHEMA = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in _SUFFIX.split(", ")])
 
 
 def _parted(classes: DataFrame) -> DataFrame:
@@ -293,11 +379,10 @@ def _parted(classes: DataFrame) -> DataFrame:
     A larger bucket is parted after the prefix that all of it shares: what goes on with the same two bytes is a bucket of
     its own, and its first stands for it in the larger one, with a tail that ends there.
     """
-    spark = classes.sparkSession
-    done = spark.createDataFrame([], classes.schema)
+    done = classes.limit(0)
     while True:
         sizes = classes.groupBy("bucket").agg(F.count("*").alias("k"), F.min("tail").alias("least"), F.max("tail").alias("most"))
-        large = materialize(sizes.filter(F.col("k") > BUCKET), "large")
+        large = materialize(sizes.filter(F.col("k") > BUCKET), "large", drop_shuffles=True)
         if large.isEmpty():
             return done.union(classes)
 
@@ -306,11 +391,12 @@ def _parted(classes: DataFrame) -> DataFrame:
                 n = [common(u, v) + 2 for u, v in zip(batch.column("least").to_pylist(), batch.column("most").to_pylist())]
                 yield pa.record_batch([batch.column("bucket"), pa.array(n, pa.int32())], ["of", "depth"])
 
-        deep = materialize(large.mapInArrow(depth, "of binary, depth int"), "depths")
+        deep = materialize(large.mapInArrow(depth, "of binary, depth int"), "depths", drop_shuffles=True)
         met = classes.join(deep, classes["bucket"] == deep["of"]).withColumn("head", F.expr("substring(tail, 1, depth)"))
         own = F.unhex(F.md5(F.concat(F.col("bucket"), F.col("head"))))
         columns = classes.columns
-        below = materialize(met.select(own.alias("bucket"), *columns[1:], F.col("bucket").alias("above"), "head"), "below")
+        below = met.select(own.alias("bucket"), *columns[1:], F.col("bucket").alias("above"), "head")
+        below = materialize(below, "below", drop_shuffles=True)
         heads = below.groupBy("above", "head").agg(
             F.min("first").alias("first"),
             F.sum("n").alias("n"),
@@ -320,7 +406,7 @@ def _parted(classes: DataFrame) -> DataFrame:
         )
         small = classes.join(deep, classes["bucket"] == deep["of"], "left_anti")
         done = done.union(small).union(heads.select(F.col("above").alias("bucket"), F.col("head").alias("tail"), *columns[2:]))
-        done = materialize(done, "parted")
+        done = materialize(done, "parted", drop_shuffles=True)
         classes = below.select(*columns)
 
 
@@ -419,7 +505,7 @@ def _numbers(texts: DataFrame) -> DataFrame:
     found = named.groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("check").alias("check"), F.max("check").alias("other")
     )
-    found = materialize(found, "texts")
+    found = materialize(found, "texts", drop_shuffles=True)
     if not found.filter(F.col("check") != F.col("other")).isEmpty():
         raise RuntimeError("two texts have one hash; choose another seed")
     ordered = found.select("key", "first_id", "copies", F.col("first_id").isNull().cast("int").alias("none"))
@@ -429,14 +515,13 @@ def _numbers(texts: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Repeats:
     """groups: window (digest of LENGTH bytes), length, n places, d, p (the first), left_diverse, tail (what follows the
-    window), later. places: bucket (the window), tail, d, p: every sorted suffix; wholes: whole, size, d, p of them; neither is
-    written. equal: whole, size and first place of what has several places to its end. numbers: key, first_id, copies, d: equal texts are one, that of the
-    least id."""
+    window), later. places: bucket (the window), tail, d, p: every sorted suffix, not written. rest: d, p and size of the
+    suffixes that are equal to the end of their tails, all but the first of them. numbers: key, first_id, copies, d: equal
+    texts are one, that of the least id."""
 
     groups: DataFrame
     places: DataFrame
-    wholes: DataFrame
-    equal: DataFrame
+    rest: DataFrame
     numbers: DataFrame
 
 
@@ -454,24 +539,30 @@ def repeat_groups(docs: DataFrame, seed: int = 0) -> Repeats:
     )
     named = numbers.select(F.col("key").alias("own_key"), "first_id", "d")
     marks = marks.filter("some").join(named, F.col("key") == F.col("own_key")).select("own_key", "first_id", "d", "marks")
-    pieces = materialize(_pieces(texts, materialize(marks, "marks")), "pieces")
-    masks = materialize(_masks(pieces), "masks")
-    places = _suffixes(pieces, masks)
-    classes = places.groupBy("bucket", "whole").agg(
+    marks = materialize(marks, "marks", drop_shuffles=True)
+    pieces = materialize(_pieces(texts, marks), "pieces", drop_shuffles=True)
+    masks = materialize(_masks(pieces), "masks", drop_shuffles=True)
+    suffixes = materialize(_suffixes(pieces, masks), "suffixes", drop_shuffles=True)
+    own = suffixes.filter("bucket IS NOT NULL")
+    # A window at one place only is no repeat.
+    shared = own.groupBy("bucket").agg(F.sum("n").alias("places")).filter("places > 1").select("bucket")
+    own = materialize(own.join(shared, "bucket", "left_semi"), "shared", drop_shuffles=True)
+    # As many firsts as there are batches that have some of the class, not places.
+    classes = own.groupBy("bucket", "whole").agg(
         F.min("tail").alias("tail"),
         F.min(F.struct("d", "p")).alias("first"),
-        F.count("*").alias("n"),
-        F.min("left").alias("low"),
-        F.max("left").alias("high"),
+        F.sum("n").alias("n"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.min("size").alias("size"),
+        F.collect_set(F.struct("d", "p")).alias("firsts"),
     )
-    classes = materialize(classes, "classes")
-    equal = classes.filter("n > 1").select("whole", (F.length("tail") + LENGTH).cast("long").alias("size"), "first")
+    classes = materialize(classes, "classes", drop_shuffles=True)
+    firsts = classes.filter("size(firsts) > 1").select("first", "size", F.explode("firsts").alias("at")).filter("at > first")
+    rest = suffixes.filter("bucket IS NULL").select("d", "p", "size").union(firsts.select("at.d", "at.p", "size"))
     classes = classes.select("bucket", "tail", "first", "n", "low", "high", F.col("bucket").alias("window"))
-    # A window at one place only is no repeat.
-    shared = classes.groupBy("bucket").agg(F.sum("n").alias("places")).filter("places > 1").select("bucket")
-    classes = classes.join(shared, "bucket", "left_semi")
-    groups = materialize(_scan(_parted(materialize(classes, "shared"))), "groups")
-    return Repeats(groups, places, _suffixes(pieces, masks, texts=False), equal, numbers)
+    groups = materialize(_scan(_parted(classes)), "groups", drop_shuffles=True)
+    return Repeats(groups, _places(pieces, masks), rest, numbers)
 
 
 def occurrences(groups: DataFrame, places: DataFrame) -> DataFrame:
@@ -483,14 +574,41 @@ def occurrences(groups: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def removable(found: Repeats) -> DataFrame:
-    """d and spans (start and size) of what starts earlier too, unmerged, of every text that has any."""
-    groups = found.groups
-    nested = groups.select(F.explode("later").alias("at"), "length").select("at.d", "at.p", F.col("length").alias("size"))
-    # Suffixes that are equal to the end of their tails: all but the first of them.
-    own = F.struct("d", "p")
-    met = found.wholes.join(found.equal, ["whole", "size"])
-    rest = met.filter(own > F.col("first")).select("d", "p", "size")
-    return nested.union(rest).groupBy("d").agg(F.collect_set(F.struct("p", "size")).alias("spans"))
+    """d and spans (start << 32 | size) of what starts earlier too, unmerged, of every text that has any."""
+    nested = found.groups.select(F.explode("later").alias("at"), F.col("length").alias("size")).select("at.d", "at.p", "size")
+    packed = F.expr("shiftleft(p, 32) | size")
+    return nested.union(found.rest).select("d", packed.alias("span")).groupBy("d").agg(F.collect_list("span").alias("spans"))
+
+
+def without(batch: pa.RecordBatch) -> list[pa.Array]:
+    """n_bytes, n_removed, n_spans, kept_sha256 and kept of texts and their spans; of copies nothing stays, if long enough."""
+    data, offsets = utf8(batch.column("text"))
+    n_bytes, n = np.diff(offsets), batch.num_rows
+    gone = np.asarray(batch.column("copy")).astype(bool) & (n_bytes >= LENGTH)
+    spans = batch.column("spans")
+    text = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(spans).fill_null(0)))
+    packed = spans.flatten().to_numpy()
+    packed, text = packed[~gone[text]], text[~gone[text]]
+    packed, text = np.append(packed, n_bytes[gone]), np.append(text, np.flatnonzero(gone))
+    order = np.lexsort((packed, text))
+    packed, text = packed[order], text[order]
+    start = offsets[text] + (packed >> 32)
+    reach = np.maximum.accumulate(start + (packed & 0xFFFFFFFF))
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] > reach[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    text, start, stop = text[first], start[first], reach[np.append(first[1:], len(reach))[: len(first)] - 1]
+    n_removed = np.zeros(n, np.int64)
+    np.add.at(n_removed, text, stop - start)
+    # What is left lies between the runs; a run that ends where the next text's starts leaves nothing between.
+    ends, begins = np.append(start, len(data)), np.append(0, stop)
+    whole = data.tobytes()
+    kept = b"".join([whole[x:y] for x, y in zip(begins.tolist(), ends.tolist())])
+    places = offsets - np.append(0, np.cumsum(n_removed))
+    hashes = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(places[:-1].tolist(), places[1:].tolist())]
+    left = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(places), pa.py_buffer(kept)]).cast(pa.binary())
+    n_spans = np.bincount(text, minlength=n)
+    return [pa.array(n_bytes), pa.array(n_removed), pa.array(n_spans), pa.array(hashes, pa.string()), left]
 
 
 def remove_repeats(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -501,36 +619,24 @@ def remove_repeats(docs: DataFrame, seed: int = 0) -> DataFrame:
     order of their own; repeated rows are one document, told once per row. An empty table gives an empty one.
     """
     found = repeat_groups(docs, seed)
-    spans = materialize(removable(found), "spans")
-    marked = found.numbers.join(spans.withColumnRenamed("d", "_d"), F.col("d") == F.col("_d"), "left").filter("copies > 1 OR spans IS NOT NULL")
-    verdict = materialize(marked.select(F.col("key").alias("own_key"), "first_id", "spans"), "verdicts")
-    texts = _texts(docs, seed)
-    met = texts.join(verdict, texts["key"] == verdict["own_key"], "left").select(
+    spans = removable(found).withColumnRenamed("d", "_d")
+    marked = found.numbers.join(spans, F.col("d") == F.col("_d"), "left").filter("copies > 1 OR spans IS NOT NULL")
+    marked = marked.select(F.col("key").alias("own_key"), "first_id", "spans")
+    verdict = materialize(marked, "verdicts", drop_shuffles=True)
+    texts = _maybe(_texts(docs, seed), verdict.select(F.col("own_key").alias("key")))
+    some = texts.filter("maybe")
+    met = some.join(verdict, some["key"] == verdict["own_key"], "left").select(
         "doc_id", "text", "spans", (F.col("own_key").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("copy")
     )
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-
-    def keep(text: bytes, spans: list[dict] | None, copy: bool) -> tuple:
-        if copy and len(text) >= LENGTH:
-            spans = [{"p": 0, "size": len(text)}]
-        kept, at, n = [], 0, 0
-        last = -1
-        for p, e in sorted((s["p"], s["p"] + s["size"]) for s in spans or []):
-            if p > last:
-                n += 1
-            if p > at:
-                kept.append(text[at:p])
-            at = last = max(last, e)
-        left = b"".join([*kept, text[max(at, 0) :]])
-        return len(text), len(text) - len(left), n, hashlib.sha256(left).hexdigest(), left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            rows = [keep(*r) for r in zip(texts, batch.column("spans").to_pylist(), batch.column("copy").to_pylist())]
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", *names])
+            yield pa.record_batch([batch.column("doc_id"), *without(batch)], ["doc_id", *names])
 
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = met.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # Texts that stay whole are not moved.
+    kept, none = F.col("text").cast("binary"), F.lit(0).cast("long")
+    values = F.octet_length("text").cast("long"), none, none, F.sha2(kept, 256), kept
+    return cut.union(texts.filter("NOT maybe").select("doc_id", *[v.alias(c) for v, c in zip(values, names)]))

@@ -51,12 +51,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{application_dir(spark)}/{label}-{uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Whether shuffle files go when the query that wrote them ends; else they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor repeats a read instead of the whole plan,
     and fixes values (such as row positions) that a second evaluation might not repeat.
+    With drop_shuffles, the shuffle files behind df go as soon as it is written.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    if drop_shuffles:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles and before is None:
+            spark.conf.unset(_CLEANUP)
+        elif drop_shuffles:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
