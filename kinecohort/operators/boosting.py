@@ -1,8 +1,9 @@
 """Gradient-boosted regression trees on quantised features, grown leaf by leaf or level by level from summed histograms.
 
-Rows are binned once and written. A pass over them gives the sums of gradients and the row counts per (node, feature, bin),
-summed within tasks and then by cell; the driver sees features x bins x open nodes, whatever the rows. Splits, penalties and
-missing values are decided from these sums alone.
+Rows are binned once and written in runs: one record has the gradients, keys and bins of some ten thousand rows as bytes, each
+feature's bins side by side, so that no step of a pass is taken row by row. A pass over them gives the sums of gradients and the
+row counts per (node, feature, bin), summed within tasks and then by cell; the driver sees features x bins x open nodes, whatever
+the rows. Splits, penalties and missing values are decided from these sums alone.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -21,13 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinecohort.functions.columns import col
-from kinecohort.sources.shared import materialize
+from kinecohort.sources.shared import delete, fresh_path
 
 #: Bins of a feature, the last one for missing values.
 BINS = 256
 MISSING = BINS - 1
-#: Trees after which the rows are written with their predictions so far.
-KEEP = 16
+#: Trees after which the rows are written with their gradients so far, and with the draws of as many (a byte has bits for 8).
+KEEP = 4
+#: Bytes of a run of rows, about, and its least and most rows; bytes of runs that Spark reads at once.
+RUN_BYTES, RUN_ROWS, GROUP_BYTES = 1 << 19, (1024, 32_768), 32 << 20
+_RUN = "key binary, g binary, bins binary, taken binary"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,15 +96,24 @@ class Tree:
         return first
 
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        feature, cut, side, left = (np.array(x) for x in (self.feature, self.bin, self.missing_left, self.left))
-        node = np.zeros(len(bins), np.int64)
-        todo = np.arange(len(bins)) if feature[0] >= 0 else np.zeros(0, np.int64)
-        while len(todo):
-            at = node[todo]
-            b = bins[todo, feature[at]]
-            goes_left = np.where(b == MISSING, side[at], b <= cut[at])
-            node[todo] = left[at] + ~goes_left
-            todo = todo[feature[node[todo]] >= 0]
+        """The leaf of each row, of bins by (feature, row)."""
+        width, rows = bins.shape
+        node = np.zeros(rows, np.int64)
+        if self.feature[0] < 0:
+            return node
+        # Leaves look at some feature and lead to themselves, so that all rows take the same steps.
+        nodes, places = np.arange(len(self.feature)), np.arange(BINS)
+        feature, left = np.array(self.feature), np.array(self.left)
+        goes_left = np.where(places == MISSING, np.array(self.missing_left)[:, None], places <= np.array(self.bin)[:, None])
+        to = np.where(feature[:, None] < 0, nodes[:, None], left[:, None] + ~goes_left).ravel()
+        start, flat, row = np.maximum(feature, 0) * rows, bins.ravel(), np.arange(rows)
+        level = [0]
+        while level := [c for i in level if self.feature[i] >= 0 for c in (self.left[i], self.left[i] + 1)]:
+            at = start.take(node)
+            at += row
+            node *= BINS
+            node += flat.take(at)
+            node = to.take(node)
         return node
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
@@ -175,58 +187,108 @@ def best_splits(g: np.ndarray, n: np.ndarray, s: Settings) -> list[Split | None]
 # --- rows ----------------------------------------------------------------------------------
 
 
-def _edges(x: DataFrame, width: int, bins: int) -> list[list[float]]:
+def _opened(vector: Column) -> Column:
+    """A vector's values. Those of a dense one are its own array, which no function has to copy."""
+    plain = F.unwrap_udt(vector)
+    return F.when(plain["type"] == 1, plain["values"]).otherwise(vector_to_array(vector))
+
+
+def _known(i: int) -> Column:
+    return F.when(~F.isnan(F.col(f"x{i}")), F.col(f"x{i}"))
+
+
+def _edges(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
     """Upper ends of the bins of each feature: its values if they are few, else values at even ranks."""
-    value = lambda i: F.when(~F.isnan(F.col("x")[i]), F.col("x")[i])
-    few = x.agg(*[F.approx_count_distinct(value(i)).alias(str(i)) for i in range(width)]).first()
+    few = rows.agg(*[F.approx_count_distinct(_known(i)).alias(str(i)) for i in range(width)]).first()
     ranks = [(k + 1) / bins for k in range(bins - 1)]
     # An estimate of distinct values has an error of some percent; a set of so few is bounded all the same.
-    own = [F.collect_set(value(i)) if few[i] <= 0.8 * bins else F.percentile_approx(value(i), ranks, 10_000) for i in range(width)]
-    row = x.agg(*[c.alias(str(i)) for i, c in enumerate(own)]).first()
+    own = [F.collect_set(_known(i)) if few[i] <= 0.8 * bins else F.percentile_approx(_known(i), ranks, 10_000) for i in range(width)]
+    row = rows.agg(*[c.alias(str(i)) for i, c in enumerate(own)]).first()
     return [sorted(set(row[i] or []))[:-1] if few[i] <= 0.8 * bins else sorted(set(row[i] or [])) for i in range(width)]
 
 
-def _to_bins(x: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
-    out = np.empty(x.shape, np.uint8)
-    for i, own in enumerate(edges):
-        v = x[:, i]
-        out[:, i] = np.where(np.isnan(v), MISSING, np.searchsorted(np.array(own, float), v, side="left"))
+def _to_bins(x: Sequence[np.ndarray], edges: Sequence[Sequence[float]]) -> np.ndarray:
+    """Bins by (feature, row) of values by feature."""
+    out = np.empty((len(edges), len(x[0]) if edges else 0), np.uint8)
+    for i, (v, own) in enumerate(zip(x, edges)):
+        out[i] = np.searchsorted(np.array(own, float), v, side="left")
+        out[i][np.isnan(v)] = MISSING
     return out
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _values(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
 
+def _run_rows(width: int) -> int:
+    return min(max(RUN_BYTES // (width + 16), RUN_ROWS[0]), RUN_ROWS[1])
 
-def _binned(rows: DataFrame, edges: list[list[float]], start: float) -> DataFrame:
-    width = len(edges)
+
+def _in_runs(rows: DataFrame, edges: list[list[float]], start: float, s: Settings) -> DataFrame:
+    """Runs of rows whose values are columns x0, x1, ..."""
+    width, keep = len(edges), KEEP
+    most = _run_rows(width)
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, g, bins = (np.concatenate(p, axis=-1) for p in zip(*parts))
+        cells = [key, g, bins, _taken(key, 0, keep, s)]
+        return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in cells], ["key", "g", "bins", "taken"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            bins = _to_bins(_matrix(batch.column("x"), width), edges)
-            packed = pa.array([r.tobytes() for r in bins], pa.binary())
-            columns = [batch.column("key"), batch.column("y"), packed, pa.array(np.full(len(bins), start))]
-            yield pa.record_batch(columns, ["key", "y", "bins", "raw"])
+            key, g = _values(batch.column("key")), start - _values(batch.column("y"))
+            bins = _to_bins([_values(batch.column(f"x{i}")) for i in range(width)], edges)
+            at = 0
+            while at < len(key):
+                part = slice(at, min(len(key), at + most - size))
+                waiting.append((key[part], g[part], bins[:, part]))
+                size, at = size + part.stop - at, part.stop
+                if size == most:
+                    yield packed(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield packed(waiting)
+
+    return rows.mapInArrow(run, _RUN)
+
+
+def _of_run(record: Mapping[str, pa.BinaryScalar], width: int, trees: Sequence[Tree]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins by (feature, row) and gradients, with what the trees add."""
+    bins = np.frombuffer(record["bins"].as_buffer(), np.uint8).reshape(width, -1)
+    g = np.frombuffer(record["g"].as_buffer(), np.float64)
+    for tree in trees:
+        g = g + tree.predict(bins)
+    return bins, g
 
-    return rows.mapInArrow(run, "key long, y double, bins binary, raw double")
 
+def _runs(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[dict[str, pa.BinaryScalar]]:
+    columns = [batch.column(n) for n in names]
+    for i in range(batch.num_rows):
+        yield {n: c[i] for n, c in zip(names, columns)}
 
-def _unpacked(batch: pa.RecordBatch, width: int, trees: Sequence[Tree]) -> tuple[np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
-    raw = batch.column("raw").to_numpy().copy()
-    for tree in trees:
-        raw += tree.predict(bins)
-    return bins, raw
 
+def _advanced(rows: DataFrame, width: int, trees: Sequence[Tree], number: int, s: Settings) -> DataFrame:
+    """The rows with what the trees add, and with the draws of the trees from number on."""
+    keep = KEEP
 
-def _advanced(rows: DataFrame, width: int, trees: Sequence[Tree]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, raw = _unpacked(batch, width, trees)
-            columns = [batch.column("key"), batch.column("y"), batch.column("bins"), pa.array(raw)]
-            yield pa.record_batch(columns, ["key", "y", "bins", "raw"])
+        for record in (r for batch in batches for r in _runs(batch, ["key", "g", "bins"])):
+            g = _of_run(record, width, trees)[1].tobytes()
+            taken = _taken(np.frombuffer(record["key"].as_buffer(), np.int64), number, keep, s).tobytes()
+            cells = [record["key"].as_py(), g, record["bins"].as_py(), taken]
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in cells], ["key", "g", "bins", "taken"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, _RUN)
+
+
+def _kept(df: DataFrame, label: str, before: str | None = None, compression: str = "none") -> tuple[DataFrame, str]:
+    """Rows as written, and where; what they were made of goes. Spark reads a group of records at once, so groups are small."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    df.write.option("parquet.block.size", GROUP_BYTES).option("compression", compression).parquet(path)
+    if before is not None:
+        delete(spark, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drawn(key: np.ndarray, seed: int, draw: int, share: float) -> np.ndarray:
@@ -237,6 +299,20 @@ def drawn(key: np.ndarray, seed: int, draw: int, share: float) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) < share * 2.0**53
 
 
+def _drawing(s: Settings) -> bool:
+    return s.bagging < 1 and s.bagging_freq > 0
+
+
+def _taken(key: np.ndarray, number: int, keep: int, s: Settings) -> np.ndarray:
+    """A bit for each of the next trees from number on: whether its draw takes the row."""
+    out = np.zeros(len(key) if _drawing(s) else 0, np.uint8)
+    if _drawing(s):
+        draws = {d: drawn(key, s.seed, d, s.bagging) for d in {(number + k) // s.bagging_freq for k in range(keep)}}
+        for k in range(keep):
+            out |= draws[(number + k) // s.bagging_freq].astype(np.uint8) << np.uint8(k)
+    return out
+
+
 @dataclass(frozen=True)
 class _Pass:
     """One look at the rows: sums for the open nodes of a growing tree."""
@@ -245,32 +321,41 @@ class _Pass:
     width: int
     pending: tuple[Tree, ...]
     settings: Settings
-    number: int
+    bit: int
 
     def sums(self, tree: Tree, nodes: Sequence[int], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width, pending, s, number = self.width, self.pending, self.settings, self.number
-        place = np.full(len(tree.feature), -1, np.int64)
+        width, pending, bit, drawing = self.width, self.pending, np.uint8(1 << self.bit), _drawing(self.settings)
+        # Rows of no open node, or not drawn, are counted beside the others.
+        beside = len(nodes)
+        place = np.full(len(tree.feature), beside, np.int64)
         place[list(nodes)] = np.arange(len(nodes))
-        size = len(nodes) * width * BINS
+        cells_of = (len(nodes) + 1) * BINS
+        names = ["g", "bins", "taken"] if drawing else ["g", "bins"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, n = np.zeros(size), np.zeros(size, np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins, raw = _unpacked(batch, width, pending)
-                gradient = raw - batch.column("y").to_numpy()
-                own = place[tree.leaf_of(bins)]
-                take = own >= 0
-                if s.bagging < 1 and s.bagging_freq:
-                    take &= drawn(batch.column("key").to_numpy(), s.seed, number // s.bagging_freq, s.bagging)
-                at = (own[take, None] * width + features) * BINS + bins[take][:, features]
-                g += np.bincount(at.ravel(), np.repeat(gradient[take], len(features)), size)
-                n += np.bincount(at.ravel(), minlength=size)
+            g, n = np.zeros((width, cells_of)), np.zeros((width, cells_of), np.int64)
+            for record in (r for batch in batches for r in _runs(batch, names)):
+                bins, gradient = _of_run(record, width, pending)
+                own = place.take(tree.leaf_of(bins))
+                if drawing:
+                    own[np.frombuffer(record["taken"].as_buffer(), np.uint8) & bit == 0] = beside
+                take = np.flatnonzero(own != beside)
+                if 2 * len(take) < len(own):
+                    own, gradient, bins = own[take], gradient[take], bins[:, take]
+                own *= BINS
+                for f in features:
+                    at = own + bins[f]
+                    g[f] += np.bincount(at, gradient, cells_of)
+                    n[f] += np.bincount(at, minlength=cells_of)
+            # As (node, feature, bin), without those beside.
+            g, n = (x.reshape(width, -1, BINS)[:, :beside].swapaxes(0, 1).ravel() for x in (g, n))
             some = np.flatnonzero(n)
             yield pa.record_batch([pa.array(some), pa.array(g[some]), pa.array(n[some])], ["cell", "g", "n"])
 
-        cells = self.rows.mapInArrow(run, "cell long, g double, n long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+        size = len(nodes) * width * BINS
+        cells = self.rows.select(*names).mapInArrow(run, "cell long, g double, n long")
+        # Sorted, so that a cell's sum does not depend on the order of the tasks.
+        cells = cells.repartition("cell").sortWithinPartitions("cell", "g").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
         found = cells.toArrow()
         g, n = np.zeros(size), np.zeros(size)
         at = found.column("cell").to_numpy()
@@ -296,8 +381,10 @@ def _grow_best_first(look: _Pass, features: np.ndarray) -> Tree:
     ahead, depth, known = Tree(), {0: 0}, {}
     while True:
         fresh = [i for i in depth if i not in known and ahead.feature[i] < 0]
-        for node, found in zip(fresh, best_splits(*look.sums(ahead, fresh, features), s)):
-            known[node] = found if s.depth is None or depth[node] < s.depth else None
+        # Leaves of the greatest depth stay as they are; no sums are needed to know.
+        known.update((i, None) for i in fresh if s.depth is not None and depth[i] >= s.depth)
+        if fresh := [i for i in fresh if i not in known]:
+            known.update(zip(fresh, best_splits(*look.sums(ahead, fresh, features), s)))
         tree, at, complete = Tree(), {0: 0}, True
         open_ = {0}
         while len(at) < s.most_leaves:
@@ -342,12 +429,17 @@ class BoostedModel:
         """Prediction for a column of arrays, in Arrow batches."""
         edges, start, trees = self.edges, self.start, self.trees
 
-        @F.pandas_udf("double")
-        def score(values: pd.Series) -> pd.Series:
-            if not len(values):
-                return pd.Series([], dtype=float)
-            bins = _to_bins(np.vstack(values.to_numpy()).astype(float), edges)
-            return pd.Series(sum((t.predict(bins) for t in trees), np.full(len(bins), start)))
+        @F.arrow_udf("double")
+        def score(values: pa.Array) -> pa.Array:
+            out = np.full(len(values), start)
+            if trees and len(values):
+                if values.null_count:
+                    raise ValueError("no features to predict from: null")
+                flat = _values(values.flatten()).astype(float, copy=False).reshape(len(values), -1)
+                bins = _to_bins(flat.T, edges)
+                for tree in trees:
+                    out += tree.predict(bins)
+            return pa.array(out)
 
         return score(x)
 
@@ -374,7 +466,7 @@ class BoostedModel:
         return total
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.predictionCol, self.predict(vector_to_array(col(self.featuresCol))))
+        return df.withColumn(self.predictionCol, self.predict(_opened(col(self.featuresCol))))
 
     @property
     def featureImportances(self) -> DenseVector:  # noqa: N802  the name MLlib models have it under
@@ -415,22 +507,32 @@ class BoostedRegressor:
         """Rows without a label are left out; without any, the model predicts zero. ``key`` names a column that tells rows
         apart for bagging (by default their features and label do, and equal rows are drawn together)."""
         s = self.settings
-        x = vector_to_array(col(self.featuresCol))
+        x = _opened(col(self.featuresCol))
         own = df.select(x.alias("x"), col(self.labelCol).cast("double").alias("y"), *([col(self.key).alias("k")] if self.key else []))
         own = own.filter("y IS NOT NULL AND NOT isnan(y)")
-        own = own.select("x", "y", F.xxhash64("k" if self.key else F.struct("x", "y")).alias("key"))
-        start, width = own.agg(F.avg("y"), F.max(F.size("x"))).first()
+        start = own.agg(F.avg("y")).first()[0]
+        some = own.select(F.size("x")).first()
+        width = some and (some[0] or own.agg(F.max(F.size("x"))).first()[0])
         if not width:
             return BoostedModel((), 0.0, (), s, self.predictionCol, self.featuresCol)
-        edges = _edges(own, width, s.bins)
-        rows = materialize(_binned(own, edges, start), "binned")
+        # Vectors are opened once; all later steps read plain columns.
+        alike = F.when(F.size("x") == width, F.col("x")).otherwise(F.raise_error(F.lit("rows have different numbers of features")))
+        hashed = F.xxhash64("k" if self.key else F.struct("x", "y")).alias("key")
+        flat = own.select(alike.alias("x"), "y", hashed).select(*[F.col("x")[i].alias(f"x{i}") for i in range(width)], "y", "key")
+        flat, path = _kept(flat, "features", compression="snappy")
+        edges = _edges(flat, width, s.bins)
+        rows, path = _kept(_in_runs(flat, edges, start, s), "binned", path)
         rng = np.random.default_rng(s.seed)
         trees: list[Tree] = []
         pending: list[Tree] = []
+        since = 0
         for number in range(s.trees):
+            if number - since == KEEP:
+                rows, path = _kept(_advanced(rows, width, pending, number, s), "boosted", path)
+                pending, since = [], number
             count = max(1, int(np.ceil(s.columns * width)))
             features = np.sort(rng.choice(width, count, replace=False)) if count < width else np.arange(width)
-            look = _Pass(rows, width, tuple(pending), s, number)
+            look = _Pass(rows, width, tuple(pending), s, number - since)
             tree = _grow_by_level(look, features) if s.growth == "symmetric" else _grow_best_first(look, features)
             if tree.feature[0] < 0:
                 if s.bagging == 1 and s.columns == 1:
@@ -438,9 +540,7 @@ class BoostedRegressor:
                 continue
             trees.append(tree)
             pending.append(tree)
-            if len(pending) >= KEEP:
-                rows = materialize(_advanced(rows, width, pending), "boosted")
-                pending = []
+        delete(df.sparkSession, path)
         return BoostedModel(tuple(tuple(e) for e in edges), float(start), tuple(trees), s, self.predictionCol, self.featuresCol)
 
 

@@ -42,8 +42,13 @@ def clear(spark: SparkSession) -> None:
     For the end of a job, when results are written elsewhere: DataFrames made by this package
     read those tables.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, application_dir(spark))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that this application wrote for itself and no DataFrame in use reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from kinecohort.operators import boosting as B
@@ -165,3 +166,43 @@ def test_more_trees_than_are_kept_in_memory(spark, monkeypatch):
         raw = raw + plain_tree(x, raw - y, s, 3)
     got = {r.id: r.prediction for r in model.transform(frame(spark, x, y)).collect()}
     assert [got[i] for i in range(len(y))] == pytest.approx(raw.tolist(), abs=1e-9)
+
+
+def test_passes_read_runs_of_rows_and_only_the_depths_that_can_be_split(spark, monkeypatch, tmp_path):
+    """A level's leaves of the greatest depth need no pass, a record holds many rows, and what was written for the fit goes."""
+    looks, sums = [], B._Pass.sums
+
+    def counted(look, tree, nodes, features):
+        looks.append((look.rows.count(), len(nodes)))
+        return sums(look, tree, nodes, features)
+
+    monkeypatch.setattr(B._Pass, "sums", counted)
+    monkeypatch.setattr(B, "KEEP", 2)
+    monkeypatch.setattr(B, "RUN_ROWS", (16, 16))
+    monkeypatch.setattr(B, "fresh_path", lambda _, label: str(tmp_path / f"{label}-{len(looks)}"))
+    x, y = rows_of(np.random.default_rng(9))
+    s = B.settings_of("XGBRegressor", {"n_estimators": 3, "max_depth": 2, "subsample": 0.7})
+    df = frame(spark, x, y).coalesce(1)
+    model = B.BoostedRegressor(s, key="id").fit(df)
+    assert looks == [(10, 1), (10, 2)] * 3
+    assert not any(tmp_path.iterdir())
+    key = {r.id: r.h for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    key, raw = np.array([key[i] for i in range(len(y))]), np.full(len(y), y.mean())
+    for number, tree in enumerate(model.trees):
+        assert sum(tree.rows[1:3]) == B.drawn(key, s.seed, number, 0.7).sum()
+        raw += tree.predict(B._to_bins(x.T, model.edges))
+    got = {r.id: r.prediction for r in model.transform(df).collect()}
+    assert [got[i] for i in range(len(y))] == pytest.approx(raw.tolist(), abs=1e-12)
+
+
+def test_sparse_vectors_are_those_of_their_dense_form(spark):
+    x, y = rows_of(np.random.default_rng(10))
+    x[:, 2] = 0.0
+    df = frame(spark, x, y)
+    rows = [(i, SparseVector(3, [j for j in range(3) if v[j] != 0], [float(u) for u in v if u != 0]), float(t)) for i, (v, t) in enumerate(zip(x, y))]
+    sparse = spark.createDataFrame(rows, ["id", "features", "y"])
+    s = B.Settings(trees=2, leaves=4, min_rows=2)
+    dense, same = (B.BoostedRegressor(s).fit(d.coalesce(1)) for d in (df, sparse))
+    assert dense.to_json() == same.to_json()
+    got, want = ({r.id: r.prediction for r in dense.transform(d).collect()} for d in (sparse, df))
+    assert got == want
