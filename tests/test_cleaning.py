@@ -163,6 +163,59 @@ def test_series_ids_stay_strings(spark, tmp_path):
     assert found == {"001": (1, 1), "012": (2, 1)}
 
 
+def _files(root):
+    return sorted(str(p.relative_to(root).parent) for p in root.rglob("part-*"))
+
+
+def test_series_directories_are_those_of_spark(spark, tmp_path):
+    """The same names, rows and types for odd ids; and no second file with check sums, whose making starts processes."""
+    ids = ["001", "a/b", "x=1", "50%", "[é]", " ", "q'\"#{}^:?*\\", "", None, "\x01", "00.50", "null"]
+    rows = [(i, n, None if n % 3 else n / 7, f"t{n}", n % 2 == 0, bytes([n])) for n in range(5) for i in ids]
+    df = spark.createDataFrame(rows, "id string, `st-ep` int, x double, t string, b boolean, z binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # subjects go on from one batch to the next
+    try:
+        tables.write_series(df, str(tmp_path / "own"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    df.repartition("id").write.partitionBy("id").parquet(str(tmp_path / "spark"))
+    assert _files(tmp_path / "own") == _files(tmp_path / "spark") and len(_files(tmp_path / "own")) == 11
+    assert not list((tmp_path / "own").rglob("id=*/.*"))
+    own, theirs = (tables.read_series(spark, str(tmp_path / n)) for n in ("own", "spark"))
+    assert own.schema == theirs.schema
+    key = lambda r: (str(r.id), r["st-ep"])
+    assert sorted(own.collect(), key=key) == sorted(theirs.collect(), key=key)
+    found = {r.id: (r.n_rows, r.n_files) for r in tables.series_inventory(own).collect()}
+    assert found == {i or None: (5 if i else 10, 1) for i in ids}
+
+
+def test_series_are_written_whole_or_not_at_all(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 0)], "id string, n int")
+    with pytest.raises(Exception, match="unlucky"):
+        tables.write_series(df.withColumn("n", F.expr("if(n = 0, cast(raise_error('unlucky') as int), n)")), str(tmp_path / "s"))
+    assert not any(tmp_path.iterdir())
+    tables.write_series(df, str(tmp_path / "s"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tables.write_series(df, str(tmp_path / "s"))
+    other = df.withColumn("when", F.expr("TIMESTAMP_NTZ '1500-01-02 03:04:05'")).withColumn("l", F.array("n"))
+    tables.write_series(other, str(tmp_path / "t"))
+    assert sorted(tables.read_series(spark, str(tmp_path / "t")).select(*other.columns).collect()) == sorted(other.collect())
+
+
+def test_series_of_many_subjects_are_listed_once_by_few_tasks(spark, tmp_path):
+    tables.write_series(spark.range(200).selectExpr("lpad(id, 4, '0') AS id", "id AS n"), str(tmp_path / "s"))
+    context, group = spark.sparkContext, "listing"
+    context.setJobGroup(group, "read_series")
+    try:
+        found = tables.read_series(spark, str(tmp_path / "s"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(i) for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds]
+    assert sum(s.numTasks for s in stages) <= 4 * context.defaultParallelism + 1
+    assert found.count() == 200 and found.select("id").distinct().count() == 200
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("007", None, 1.5), ("8", 3, None)], "id string, `a-b` int, c double")
     tables.write_table(df, str(tmp_path / "t"))
