@@ -216,6 +216,21 @@ def test_series_of_many_subjects_are_listed_once_by_few_tasks(spark, tmp_path):
     assert found.count() == 200 and found.select("id").distinct().count() == 200
 
 
+def test_an_inventory_of_many_subjects_takes_few_tasks(spark, tmp_path):
+    context, group = spark.sparkContext, "inventory"
+    context.setJobGroup(group, "series_inventory")
+    try:
+        tables.write_series(spark.range(600).selectExpr("lpad(id % 200, 4, '0') AS id", "id AS n"), str(tmp_path / "s"))
+        found = tables.series_inventory(tables.read_series(spark, str(tmp_path / "s"))).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    assert sum(tracker.getStageInfo(i).numTasks for i in stages if tracker.getStageInfo(i)) < 200
+    assert {r.id: (r.n_rows, r.n_files) for r in found} == {f"{i:04d}": (3, 1) for i in range(200)}
+    assert all(r.n_bytes > 0 for r in found)
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("007", None, 1.5), ("8", 3, None)], "id string, `a-b` int, c double")
     tables.write_table(df, str(tmp_path / "t"))
